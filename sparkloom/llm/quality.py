@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import Columns, arrow_map, as_bytes, held_out, tune, written
+from sparkloom.llm.common import Columns, arrow_map, as_bytes, held_out, tune
 
 #: At most this many labelled rows, the first by a hash of the id, are used to fit a model.
 FIT_ROWS = 20_000
@@ -129,43 +129,59 @@ class Trees:
         return 1 / (1 + np.exp(-raw))
 
 
-def features_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, f): the statistics of every whole text. No shuffle; a null text counts as empty."""
-    tune(docs.sparkSession)
+def fit_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS, **trees: float) -> Trees:
+    """Fit on labelled rows outside the held-out fold, at most fit_rows of them (by a hash of the id, so the
+    same at every run). Their ids, a bounded number, are broadcast; the driver gets only the statistics of their
+    texts. Without labels each score is 0.5."""
+    known = labels.where(F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col))).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
+    chosen = known.orderBy(F.xxhash64("_id"), "_id", "_y").limit(fit_rows)
+    body = docs.select(docs[id_col].alias("_doc"), as_bytes(text_col).alias("t"))
 
     def run(batches: Iterator[Columns]) -> Iterator[Columns]:
         for b in batches:
-            yield {id_col: b["id"], "f": list(text_features(b["t"]).astype(np.float32))}
+            yield {"id": b["_doc"], "f": list(text_features(b["t"]).astype(np.float32)), "y": b["_y"]}
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return arrow_map(docs.select(docs[id_col].alias("id"), as_bytes(text_col).alias("t")), run, f"`{id_col}` {kind}, f array<float>")
+    tune(docs.sparkSession)
+    joined = body.join(F.broadcast(chosen), body["_doc"] == chosen["_id"]).select("_doc", "t", "_y")
+    sample = arrow_map(joined, run, f"id {docs.schema[id_col].dataType.simpleString()}, f array<float>, y int").toPandas()
+    sample = sample.sort_values("id", kind="stable")  # sums, and so models, don't depend on the order in which tasks end
+    x = np.array(sample["f"].tolist(), dtype=np.float64).reshape(len(sample), -1) if len(sample) else np.zeros((0, len(FEATURES)))
+    return Trees(**trees).fit(x, sample["y"].to_numpy(np.float64))
 
 
-def fit_quality(features: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", fit_rows: int = FIT_ROWS, **trees: float) -> Trees:
-    """Fit on labelled rows outside the held-out fold, at most fit_rows of them (by a hash of the id, so the
-    same at every run). The driver gets only their statistics. Without labels each score is 0.5."""
-    known = labels.where(F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col))).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
-    sample = known.join(features, known["_id"] == features[id_col]).orderBy(F.xxhash64("_id"), "_id", "_y").select("f", "_y").limit(fit_rows).toPandas()
-    x = np.array(sample["f"].tolist(), dtype=np.float64).reshape(len(sample), -1) if len(sample) else np.zeros((0, len(FEATURES)))
-    return Trees(**trees).fit(x, sample["_y"].to_numpy(np.float64))
+def _scores(model: Trees, texts: list[bytes]) -> np.ndarray:
+    return model.score(text_features(texts).astype(np.float32).astype(np.float64))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = FIT_ROWS) -> DataFrame:
     """Per row: id, held_out, score in 0..1 (higher: label 1 likelier), predicted (1 if score >= threshold).
 
-    The statistics of all texts are computed once and written to the shared folder (some 120 bytes a
-    row); labels are joined to them, never to texts. The model is a fixed number of small arrays, sent with
-    the scoring function. Null and empty texts have the statistics of an empty text and get a score; a null
-    id is held out; repeated rows get equal scores; an empty table gives an empty result.
+    Texts are never shuffled; the model is a fixed number of small arrays, sent with the scoring
+    function. Null and empty texts have the statistics of an empty text and get a score; a null id is held out;
+    repeated rows get equal scores; an empty table gives an empty result; other columns are not read.
     """
-    features = written(features_of(docs, id_col, text_col), "quality")
-    model = fit_quality(features, labels, label_col, id_col, fit_rows)
+    model = fit_quality(docs, labels, label_col, id_col, text_col, fit_rows)
 
     def run(batches: Iterator[Columns]) -> Iterator[Columns]:
         for b in batches:
-            s = model.score(np.array(b["f"], dtype=np.float64))
-            yield {id_col: b[id_col], "score": s, "predicted": (s >= threshold).astype(np.int32)}
+            s = _scores(model, b["t"])
+            yield {id_col: b["id"], "score": s, "predicted": (s >= threshold).astype(np.int32)}
 
-    kind = features.schema[id_col].dataType.simpleString()
-    scored = arrow_map(features, run, f"`{id_col}` {kind}, score double, predicted int")
+    kind = docs.schema[id_col].dataType.simpleString()
+    scored = arrow_map(docs.select(docs[id_col].alias("id"), as_bytes(text_col).alias("t")), run, f"`{id_col}` {kind}, score double, predicted int")
     return scored.select(id_col, held_out(F.col(id_col)).alias("held_out"), "score", "predicted")
+
+
+def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = FIT_ROWS) -> DataFrame:
+    """The rows of docs that score_quality predicts as 1, with their columns as they are; nothing is shuffled."""
+    model = fit_quality(docs, labels, label_col, id_col, text_col, fit_rows)
+
+    def run(batches):  # noqa: ANN001, ANN202
+        import pyarrow as pa
+
+        for b in batches:
+            texts = [(t or "").encode() for t in b.column(text_col).to_pylist()]
+            if texts:
+                yield b.filter(pa.array(_scores(model, texts) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
