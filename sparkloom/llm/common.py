@@ -55,9 +55,9 @@ def dropped(df: DataFrame) -> None:
 Columns = dict[str, list]
 
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[Columns]], Iterator[Columns]], schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, fn: Callable[[Iterator[Columns]], Iterator[Columns]], schema: str, arrays: bool = False) -> DataFrame:
     """mapInArrow with plain columns: fn gets an iterator over batches (name -> list) of one
-    partition and yields batches of the result's columns."""
+    partition and yields batches of the result's columns. arrays: numpy arrays instead of lists, for numbers without nulls."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(StructType.fromDDL(schema))
@@ -65,7 +65,7 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[Columns]], Iterator[Columns]
     def columns(batches: Iterator[pa.RecordBatch]) -> Iterator[Columns]:
         for batch in batches:
             if batch.num_rows:
-                yield {name: batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names)}
+                yield {name: batch.column(i).to_numpy(zero_copy_only=False) if arrays else batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for out in fn(columns(batches)):

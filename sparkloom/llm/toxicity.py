@@ -270,6 +270,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, i
             yield {"f": [scanner.features(t) for t in b["_t"]], "_y": b["_y"]}
 
     measured = arrow_map(sample, measure, "f array<float>, _y int").toPandas()
+    measured = measured.sort_values(["_y", "f"], key=lambda c: c.map(tuple) if c.name == "f" else c)  # the same sums at every run
     x = np.array(measured["f"].tolist(), dtype=np.float64).reshape(len(measured), len(Scanner.FEATURES))
     w = logistic(x, measured["_y"].to_numpy(np.float64))
 
