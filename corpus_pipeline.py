@@ -22,8 +22,9 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     its id with one text, one. Rows without an id stay only if their whole group has none."""
     groups = near_dedup.near_duplicates(docs)
     kept = written(groups.where("kept").select(F.col("doc_id").alias("_id")).distinct(), "kept")
-    stay = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
-    return stay.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).select(*docs.columns)
+    rows = docs.select(docs["doc_id"].alias("id"), F.xxhash64(docs["text"]).alias("text"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    stay = rows.join(kept, rows["id"].eqNullSafe(kept["_id"]), "left_semi").dropDuplicates(["id", "text"])
+    return stay.select(*(F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def chained_substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

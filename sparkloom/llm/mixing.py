@@ -108,6 +108,10 @@ class MinCostFlow:
         return n
 
 
+#: What mix() adds to its rows.
+RESULT = ("_size", "_source_size", "_target", "_repeats", "_taken")
+
+
 class Plan(NamedTuple):
     sources: list[str | None]  # by code point, null last
     sizes: list[int]
@@ -156,7 +160,7 @@ def nearest_fill(sizes: list[int], wanted: int) -> list[int]:
 
 
 def mix(docs: DataFrame, members: Column, size: Column, weights: Sequence[int] = WEIGHTS, repeats: int = REPEATS, seed: int = 42, id_col: str = "doc_id") -> DataFrame:
-    """docs with the columns _size, _source_size, _target (of the first of a row's sources), _repeats and _taken.
+    """docs with the columns RESULT (_target is that of the first of a row's sources); they replace columns of those names.
 
     members: an array of source names, which may hold null; a document in several sources has each word of it
     counted for one of them at a time. Whole documents are taken, 0 to `repeats` times each.
@@ -172,7 +176,8 @@ def mix(docs: DataFrame, members: Column, size: Column, weights: Sequence[int] =
     """
     spark = docs.sparkSession
     names = F.when(members.isNull() | (F.size(members) == 0), F.array(F.lit(None).cast("string"))).otherwise(F.array_sort(F.array_distinct(members)))
-    sized = docs.withColumns({"_size": F.coalesce(size, F.lit(0)).cast("long"), "_pattern": names, "_place": F.xxhash64(id_col, F.lit(seed))})
+    own = F.struct(*(docs[c] for c in docs.columns)).alias("_row")
+    sized = docs.select(own, F.coalesce(size, F.lit(0)).cast("long").alias("_size"), names.alias("_pattern"), F.xxhash64(docs[id_col], F.lit(seed)).alias("_place"))
     rows = sized.groupBy("_pattern").agg(F.sum("_size").alias("n"), F.count(F.lit(1)).alias("docs")).limit(MAX_PATTERNS + 1).collect()
     if len(rows) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
@@ -196,35 +201,38 @@ def mix(docs: DataFrame, members: Column, size: Column, weights: Sequence[int] =
     at_end = F.coalesce(F.col("_stretch") == F.col("_end"), F.lit(False))
     whole = decided.where(~at_end).withColumn("_more", F.coalesce(F.col("_stretch") < F.col("_end"), F.lit(False)).cast("int"))
 
-    def choose(frames: Iterator) -> Iterator:
-        import pandas as pd
+    def choose(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-        def out(parts: list) -> pd.DataFrame:
-            group = pd.concat(parts) if len(parts) > 1 else parts[0].copy()
-            group["_more"] = nearest_fill(group["_size"].tolist(), int(group["_left"].iloc[0]))
-            return group
+        def out(parts: list) -> Iterator:
+            group = pa.Table.from_batches(parts)
+            more = nearest_fill(group.column("_size").to_pylist(), group.column("_left")[0].as_py())
+            yield from group.append_column("_more", pa.array(more, pa.int32())).to_batches()
 
         parts, key = [], None
-        for frame in frames:
-            for pattern, part in frame.groupby(frame["_pattern"].map(tuple), sort=False, dropna=False):
-                if parts and pattern != key:
-                    yield out(parts)
+        for batch in batches:
+            patterns = batch.column("_pattern").to_pylist()
+            starts = [i for i, p in enumerate(patterns) if not i or p != patterns[i - 1]]
+            for i, j in zip(starts, [*starts[1:], len(patterns)], strict=True):
+                if parts and patterns[i] != key:
+                    yield from out(parts)
                     parts = []
-                key = pattern
-                parts.append(part)
+                key = patterns[i]
+                parts.append(batch.slice(i, j - i))
         if parts:
-            yield out(parts)
+            yield from out(parts)
 
-    ends_here = decided.where(at_end).repartition("_pattern").sortWithinPartitions("_pattern", "_place", id_col, "_size")
-    single = ends_here.mapInPandas(choose, whole.schema)
-    both = whole.unionByName(single)
+    ends_here = decided.where(at_end).repartition("_pattern").sortWithinPartitions("_pattern", "_place", F.col(f"_row.`{id_col}`"), "_size")
+    both = whole.unionByName(ends_here.mapInArrow(choose, whole.schema))
     times = F.when(F.col("_size") > 0, F.col("_times") + F.col("_more")).otherwise(0).cast("int")
     both = both.withColumn("_repeats", times).withColumn("_taken", F.col("_repeats") * F.col("_size"))
-    return both.select(*docs.columns, "_size", "_source_size", "_target", "_repeats", "_taken")
+    return both.select(*(F.col(f"_row.`{c}`") for c in docs.columns if c not in RESULT), *RESULT)
 
 
 def mixed_documents(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id", **options: object) -> DataFrame:
     """The documents of the mix, each row as often as the mix takes it; columns stay as they are."""
-    taken = mix(docs, F.array(docs[source_col]), n_words(docs[text_col]), id_col=id_col, **options)
-    copies = taken.where("_repeats > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_repeats"))))
-    return copies.select(*docs.columns)
+    own = F.struct(*(docs[c] for c in docs.columns)).alias("row")
+    rows = docs.select(docs[id_col].alias("id"), docs[source_col].alias("source"), n_words(docs[text_col]).alias("words"), own)
+    taken = mix(rows, F.array("source"), F.col("words"), id_col="id", **options).where("_repeats > 0")
+    copies = taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_repeats"))))
+    return copies.select(*(F.col(f"row.`{c}`") for c in docs.columns))

@@ -410,8 +410,8 @@ def cut_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     runs = _found(docs, id_col, text_col, min_words, identity).select(F.col("doc").alias("_doc"), F.col("v").alias("_v"), "run_lo", "run_hi").distinct()
     cuts = written(runs.groupBy("_doc", "_v").agg(F.sort_array(F.collect_list(F.struct("run_lo", "run_hi"))).alias("_cuts")), "cuts")
-    keyed = docs.withColumn("_key", version(as_bytes(text_col)))
-    joined = keyed.join(cuts, (keyed[id_col].cast("long") == cuts["_doc"]) & (keyed["_key"] == cuts["_v"]), "left")
+    keyed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[id_col].cast("long").alias("id"), version(as_bytes(text_col)).alias("key"))
+    joined = keyed.join(cuts, (F.col("id") == F.col("_doc")) & (F.col("key") == F.col("_v")), "left")
     tune(docs.sparkSession)
 
     @F.pandas_udf("string")
@@ -420,7 +420,10 @@ def cut_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         return pd.Series([without(t.encode(), [(c["run_lo"], c["run_hi"]) for c in s]).decode() for t, s in zip(text, spans, strict=True)], dtype=object)
 
-    cut = joined.where("_cuts is not null").withColumn("_text", shortened(F.col(text_col), F.col("_cuts")))
-    cut = cut.where(F.col("_text").rlike(r"[^\x20\x09-\x0D]"))
-    extra = [F.char_length("_text").cast(docs.schema["n_chars"].dataType).alias("n_chars") if c == "n_chars" else F.col("_text").alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    return joined.where("_cuts is null").select(*docs.columns).unionByName(cut.select(*extra))
+    cut = joined.where("_cuts is not null").withColumn("new_text", shortened(F.col(f"row.`{text_col}`"), F.col("_cuts")))
+    cut = cut.where(F.col("new_text").rlike(r"[^\x20\x09-\x0D]"))
+    new = {text_col: F.col("new_text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.char_length("new_text").cast(docs.schema["n_chars"].dataType)
+    whole = joined.where("_cuts is null").select(*(F.col(f"row.`{c}`") for c in docs.columns))
+    return whole.unionByName(cut.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns)))
