@@ -6,6 +6,7 @@ import heapq
 from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -147,35 +148,23 @@ def solve(patterns: dict[tuple[str | None, ...], int], weights: Sequence[int] =
     return Plan(sources, sizes, wanted, {k: flow.room[e ^ 1] for k, e in routes.items()})
 
 
-def nearest_fill(sizes: list[int], wanted: int, most_moves: int = 100) -> list[int]:
-    """1 for each size taken: in order, what still fits is taken. Then, as long as it comes nearer to `wanted`, the
-    best of: one more, one less, one exchanged for another. Sizes of 0 are never taken."""
-    taken, left = [0] * len(sizes), wanted
-    for i, n in enumerate(sizes):
-        if 0 < n <= left:
-            taken[i], left = 1, left - n
-    for _ in range(most_moves):
-        if not left:
-            break
-        out = sorted((n, i) for i, n in enumerate(sizes) if not taken[i] and n) + [(0, -1)]
-        into = sorted((n, i) for i, n in enumerate(sizes) if taken[i]) + [(0, -1)]
-        out.sort(), into.sort()
-        best, at = (abs(left), 0, 0), len(out) - 1
-        for a, i in reversed(into):  # the size to come in for a is the nearest to a + left, which falls with a
-            while at and out[at - 1][0] >= a + left:
-                at -= 1
-            for near in (at - 1, at):
-                if near >= 0:
-                    best = min(best, (abs(left - out[near][0] + a), near, i), key=lambda m: m[0])
-        if best[0] >= abs(left):
-            break
-        _, near, i = best
-        n, j = out[near]
-        left += (sizes[i] if i >= 0 else 0) - n
-        if i >= 0:
-            taken[i] = 0
-        if j >= 0:
-            taken[j] = 1
+def nearest_fill(sizes: list[int], wanted: int, pool: int = 16) -> list[int]:
+    """1 for each size taken: in order, as long as they fit; then, of the `pool` sizes around that place, the
+    subset that comes nearest to `wanted`. Sizes of 0 are never taken."""
+    own = [i for i, n in enumerate(sizes) if n > 0]
+    upto = np.cumsum([0, *(sizes[i] for i in own)])
+    cut = int(np.searchsorted(upto, wanted, "right")) - 1
+    first = max(0, min(cut - pool // 2, len(own) - pool))
+    near = own[first : first + pool]
+    sums = np.zeros(1, np.int64)
+    for i in near:
+        sums = np.concatenate([sums, sums + sizes[i]])
+    best = int(np.abs(wanted - upto[first] - sums).argmin())
+    taken = [0] * len(sizes)
+    for i in own[:first]:
+        taken[i] = 1
+    for bit, i in enumerate(near):
+        taken[i] = best >> bit & 1
     return taken
 
 
