@@ -17,8 +17,8 @@ SIMILARITY = 75
 #: A pair at the threshold shares no band with probability (1 - 0.75**ROWS)**BANDS, about 1 in 40,000.
 BANDS, ROWS = 28, 4
 #: Pairs that agree in fewer coordinates than this aren't checked. At the threshold 84 of 112 are expected with a
-#: deviation of 4.6, so this is more than six deviations away.
-LEAST_AGREEMENT = BANDS * ROWS // 2
+#: deviation of 4.6, so this is 4.8 deviations away: one such pair in a million, far fewer than share no band.
+LEAST_AGREEMENT = 62
 #: Members of a bucket that are compared in one block, and partners of one document that are checked in one task.
 BLOCK, PARTNERS = 512, 256
 
@@ -66,28 +66,28 @@ def _fingerprint(s: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(id, n, c, bands, digest) of each row: the size of its shingle set, a 128-bit fingerprint of the set, a key for
-    each band, and a byte of each coordinate. Without words n is 0 and the rest null. Maps partitions; no shuffle."""
+    """(id, n, c, bands, marks, digest) of each row: the size of its shingle set, a 128-bit fingerprint of the set, a key for
+    each band, 32 bits of each key, and a byte of each coordinate. Without words n is 0 and the rest null. Maps partitions; no shuffle."""
 
     def run(batches: Iterator[Columns]) -> Iterator[Columns]:
         hashes = WordHashes()
         for b in batches:
             sets = [shingle_set(hashes.of(words_of(t)), shingle) for t in b["t"]]
             full = [i for i, s in enumerate(sets) if len(s)]
-            out = {"id": b["id"], "n": [len(s) for s in sets]} | {c: [None] * len(sets) for c in ("c", "bands", "digest")}
+            out = {"id": b["id"], "n": [len(s) for s in sets]} | {c: [None] * len(sets) for c in ("c", "bands", "marks", "digest")}
             if full:
                 sig = circulant_signatures([sets[i] for i in full], bands * rows)
                 keys = np.arange(bands, dtype=np.uint64)[None, :] + np.zeros((len(full), 1), np.uint64)
                 for j in range(rows):
                     keys = mix64(keys * np.uint64(0x9E3779B97F4A7C15) + sig[:, j::rows])
-                keys, digests = keys.astype(np.int64), sig.astype(np.uint8)
+                keys, marks, digests = keys.astype(np.int64), keys.astype(np.uint32), sig.astype(np.uint8)
                 for row, i in enumerate(full):
-                    out["c"][i], out["bands"][i], out["digest"][i] = _fingerprint(sets[i]), keys[row], digests[row].tobytes()
+                    out["c"][i], out["bands"][i], out["marks"][i], out["digest"][i] = _fingerprint(sets[i]), keys[row], marks[row].tobytes(), digests[row].tobytes()
             yield out
 
     tune(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    return arrow_map(docs.select(docs[id_col].alias("id"), as_bytes(text_col).alias("t")), run, f"id {kind}, n long, c binary, bands array<long>, digest binary")
+    return arrow_map(docs.select(docs[id_col].alias("id"), as_bytes(text_col).alias("t")), run, f"id {kind}, n long, c binary, bands array<long>, marks binary, digest binary")
 
 
 def _agreeing(pairs: DataFrame, classes: DataFrame, similarity: int) -> DataFrame:
@@ -117,7 +117,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shingle: in
     members = placed.select("p", "task", F.lit(1).alias("role"), F.col("x").alias("c"))
     heads = spread.select("p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1)).alias("task"), F.lit(0).alias("role"), F.col("p").alias("c"))
     routes = written(members.union(heads).join(classes.select("c", "first"), "c"), "routes")
-    texts = docs.join(routes, docs["id"].eqNullSafe(routes["first"])).select("p", "task", "role", "c", "t")
+    # a merge join at every size: routes grow with the input, so no size should rely on a broadcast
+    texts = docs.join(routes.hint("merge"), docs["id"].eqNullSafe(routes["first"])).select("p", "task", "role", "c", "t")
     dealt = texts.repartition(F.col("p"), F.col("task")).sortWithinPartitions("p", "task", "role", "c")
 
     def run(batches: Iterator[Columns]) -> Iterator[Columns]:
@@ -142,33 +143,37 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shingle: in
     return arrow_map(dealt, run, "x binary, p binary")
 
 
-def _crossing(buckets: DataFrame, labels: DataFrame, classes: DataFrame, done: DataFrame) -> DataFrame:
-    """Pairs (x, p) that share a bucket, carry different labels and were not checked with the pivot.
+def _crossing(buckets: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (x, p) that share a bucket and carry different labels, each once.
 
     A bucket whose members all have the pivot's label is finished. In others every member with another label
-    (left) is compared with all members, block by block; blocks hold BLOCK members and only pairs that agree leave them.
+    (left) is compared with all members, block by block; blocks hold BLOCK members and only pairs that agree leave them, from
+    the first band alone that they agree in.
     """
-    named = buckets.join(labels, buckets["c"] == labels["node"], "left").select("key", "p", "c", F.coalesce("label", "c").alias("label"))
+    named = buckets.join(labels, buckets["c"] == labels["node"], "left").select("key", "band", "p", "c", F.coalesce("label", "c").alias("label"))
     pivot = labels.select(F.col("node").alias("p"), F.col("label").alias("p_label"))
-    named = named.join(pivot, "p", "left").withColumn("left", F.col("label") != F.coalesce("p_label", "p")).where(F.col("c") != F.col("p"))
+    named = named.join(pivot, "p", "left").withColumn("left", F.col("label") != F.coalesce("p_label", "p"))
     open_ = named.groupBy("key").agg(F.count_if("left").alias("lefts"), F.count(F.lit(1)).alias("n")).where("lefts > 0 AND n > 1")
     open_ = written(open_.select("key", F.ceil(F.col("lefts") / BLOCK).alias("left_blocks"), F.ceil(F.col("n") / BLOCK).alias("blocks")), "open")
-    at_hand = named.join(open_, "key").join(classes.select("c", "n", "digest"), "c")
+    at_hand = named.join(open_, "key").join(classes.select("c", "n", F.concat("marks", "digest").alias("marks")), "c")
     at_hand = at_hand.withColumns({"lb": F.pmod(F.xxhash64("c"), "left_blocks"), "b": F.pmod(F.xxhash64("c", F.lit(1)), "blocks")})
-    rights = at_hand.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("left_blocks") - 1)).alias("lb"), "b", F.lit(1).alias("role"), "c", "label", "n", "digest")
-    lefts = at_hand.where("left").select("key", "lb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("b"), F.lit(0).alias("role"), "c", "label", "n", "digest")
+    rights = at_hand.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("left_blocks") - 1)).alias("lb"), "b", F.lit(1).alias("role"), "band", "c", "label", "n", "marks")
+    lefts = at_hand.where("left").select("key", "lb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("b"), F.lit(0).alias("role"), "band", "c", "label", "n", "marks")
     dealt = lefts.union(rights).repartition(F.col("key"), F.col("lb"), F.col("b")).sortWithinPartitions("key", "lb", "b", "role")
 
     def matrix(rows: list[tuple]) -> tuple:
-        return [r[0] for r in rows], [r[1] for r in rows], np.array([r[2] for r in rows]), np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1)
+        both = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1)
+        marks = np.ascontiguousarray(both[:, : 4 * BANDS]).view(np.uint32)
+        return [r[0] for r in rows], [r[1] for r in rows], np.array([r[2] for r in rows]), marks, both[:, 4 * BANDS :]
 
-    def compared(lefts: list[tuple], rights: list[tuple]) -> Columns:
+    def compared(band: int, lefts: list[tuple], rights: list[tuple]) -> Columns:
         x, p = [], []
         if lefts and rights:
-            (lc, ll, ln, ld), (rc, rl, rn, rd) = matrix(lefts), matrix(rights)
+            (lc, ll, ln, lm, ld), (rc, rl, rn, rm, rd) = matrix(lefts), matrix(rights)
             for i in range(len(lc)):
-                fits = np.minimum(rn, ln[i]) * 100 >= np.maximum(rn, ln[i]) * SIMILARITY
-                for j in np.flatnonzero(fits & ((rd == ld[i]).sum(1) >= LEAST_AGREEMENT)):
+                fits = (np.minimum(rn, ln[i]) * 100 >= np.maximum(rn, ln[i]) * SIMILARITY) & ((rd == ld[i]).sum(1) >= LEAST_AGREEMENT)
+                fits &= (rm == lm[i]).argmax(1) == band
+                for j in np.flatnonzero(fits):
                     if ll[i] != rl[j]:
                         x.append(max(lc[i], rc[j])), p.append(min(lc[i], rc[j]))
         return {"x": x, "p": p}
@@ -176,28 +181,29 @@ def _crossing(buckets: DataFrame, labels: DataFrame, classes: DataFrame, done: D
     def run(batches: Iterator[Columns]) -> Iterator[Columns]:
         key, sides = None, ([], [])
         for b in batches:
-            for k, lb, own, role, *row in zip(*(b[c] for c in ("key", "lb", "b", "role", "c", "label", "n", "digest")), strict=True):
-                if (k, lb, own) != key:
-                    yield compared(*sides)
-                    key, sides = (k, lb, own), ([], [])
+            for k, lb, own, role, band, *row in zip(*(b[c] for c in ("key", "lb", "b", "role", "band", "c", "label", "n", "marks")), strict=True):
+                if (k, lb, own, band) != key:
+                    if key:
+                        yield compared(key[3], *sides)
+                    key, sides = (k, lb, own, band), ([], [])
                 sides[role].append(row)
                 if role and len(sides[1]) >= BLOCK:
-                    yield compared(*sides)
+                    yield compared(band, *sides)
                     sides[1].clear()
-        yield compared(*sides)
+        if key:
+            yield compared(key[3], *sides)
 
-    found = arrow_map(dealt, run, "x binary, p binary").distinct()
-    return found.join(done, ["x", "p"], "left_anti")
+    return arrow_map(dealt, run, "x binary, p binary").distinct()  # two lefts of a bucket meet twice
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
     """Per row: id, n_shingles, component_id (the smallest id reachable by links), kept (id = component_id).
 
-    Rows with equal shingle sets are one class; what follows works on classes, so copies cost a row each. Every
-    class is checked exactly with the pivot (the smallest member) of each band bucket that it falls in; a bucket whose
-    members aren't joined by that is then compared block by block, so no pair that shares a bucket is left out and
-    a large group of near copies needs a number of checks in proportion to its size. Links become components by
-    alternating stars.
+    Rows with equal shingle sets are one class; what follows works on classes, so copies cost a row each. The pivot of
+    a band bucket is its smallest member. Every class is checked exactly with the pivot that it shares most buckets with,
+    and links become components by alternating stars. A bucket whose members aren't all joined by that is then compared
+    block by block, so no pair that shares a bucket is left out unless it is joined already, and a large group of near
+    copies needs a number of checks in proportion to its size.
 
     Rows without words have an empty set, n_shingles 0 and no link: component_id is their own id. Null ids are never the
     smallest; a component of null ids alone has a null component_id, and its rows are kept. Repeated rows are linked
@@ -207,20 +213,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     body = docs.select(docs[id_col].alias("id"), as_bytes(text_col).alias("t"))
     rows = written(signatures(docs, id_col, text_col, shingle), "signatures")
     full = rows.where("n > 0")
-    grouped = full.groupBy("c").agg(F.min("id").alias("first"), F.max("n").alias("n"), F.first("bands").alias("bands"), F.first("digest").alias("digest"))
+    grouped = full.groupBy("c").agg(F.min("id").alias("first"), F.max("n").alias("n"), F.first("bands").alias("bands"), F.first("marks").alias("marks"), F.first("digest").alias("digest"))
     classes = written(grouped, "classes")
-    members = classes.select(F.explode("bands").alias("key"), "c")
+    members = classes.select(F.posexplode("bands").alias("band", "key"), "c")
     pivots = written(members.groupBy("key").agg(F.min("c").alias("p"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "p"), "pivots")
     buckets = written(members.join(pivots, "key"), "buckets")
-    stars = _agreeing(buckets.where("c != p").select(F.col("c").alias("x"), "p").distinct(), classes, similarity)
-    stars = written(stars, "stars")
-    links = written(_verified(stars, body, classes, shingle, similarity), "verified")
-    label = links.groupBy(F.col("x").alias("node")).agg(F.min("p").alias("label"))
-    onward = label.select(F.col("node").alias("label"), F.col("label").alias("next"))
-    labels = written(label.join(onward, "label", "left").select("node", F.coalesce("next", "label").alias("label")), "labels")
-    more = written(_crossing(buckets, labels, classes, stars), "crossing")
-    links = links.union(_verified(more, body, classes, shingle, similarity))
-    roots = components(links.select(F.col("x").alias("a"), F.col("p").alias("b")))
+    # first each class with the one pivot with which it shares most buckets
+    shared = buckets.where("c != p").groupBy(F.col("c").alias("x"), "p").agg(F.count(F.lit(1)).alias("n"))
+    best = shared.groupBy("x").agg(F.max_by("p", F.struct("n", "p")).alias("p"))
+    links = written(_verified(written(_agreeing(best, classes, similarity), "stars"), body, classes, shingle, similarity), "verified")
+    labels = written(components(links.select(F.col("x").alias("a"), F.col("p").alias("b"))).select("node", F.col("root").alias("label")), "labels")
+    # then every pair that shares a bucket and isn't joined yet
+    more = written(_crossing(buckets, labels, classes), "crossing")
+    more_links = written(_verified(more, body, classes, shingle, similarity), "verified")
+    roots = components(links.union(more_links).select(F.col("x").alias("a"), F.col("p").alias("b")))
     linked = classes.join(roots, classes["c"] == roots["node"], "left").select("c", "first", F.coalesce("root", "c").alias("root"))
     smallest = linked.groupBy("root").agg(F.min("first").alias("smallest"))
     named = written(linked.join(smallest, "root").select("c", F.col("smallest").alias("component")), "named")
