@@ -23,7 +23,7 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     groups = near_dedup.near_duplicates(docs)
     kept = written(groups.where("kept").select(F.col("doc_id").alias("_id")).distinct(), "kept")
     rows = docs.select(docs["doc_id"].alias("id"), F.xxhash64(docs["text"]).alias("text"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
-    stay = rows.join(kept, rows["id"].eqNullSafe(kept["_id"]), "left_semi").dropDuplicates(["id", "text"])
+    stay = rows.join(kept.hint("merge"), rows["id"].eqNullSafe(kept["_id"]), "left_semi").dropDuplicates(["id", "text"])
     return stay.select(*(F.col(f"row.`{c}`") for c in docs.columns))
 
 

@@ -15,11 +15,15 @@ from sparkloom.llm.common import Columns, WordHashes, arrow_map, as_bytes, dropp
 #: SEED + WINDOW - 1 = 23 words always shares a seed.
 SEED, WINDOW = 8, 16
 #: A chain may skip so many words in either text between two seeds; each skipped word costs GAP_COST of a matched one.
-MAX_GAP, GAP_COST = 32, 0.25
+#: Where every 20th word is changed, seeds that survive are some 40 words apart.
+MAX_GAP, GAP_COST = 96, 0.05
 #: A chain needs so many words in all; touching chains together make a passage of at least MIN_WORDS.
 MIN_CHAIN, MIN_WORDS = 16, 50
-#: Share of a chain's words that must match.
-IDENTITY = 0.8
+#: Share of a chain's words that must match; a chain is cut where of the words between two seeds less than GAP_IDENTITY do.
+IDENTITY, GAP_IDENTITY = 0.8, 0.6
+#: A chain is left out if it lies within a stretch of another one that has this share of its words under seeds and no
+#: gap above NEAR words.
+INSIDE, NEAR = 0.2, 32
 #: Passages of one text that lie at most so many words apart are one.
 TOUCH = 4
 #: Slices of texts are asked for in multiples of so many words, so that many chains ask for the same ones.
@@ -33,14 +37,25 @@ def version(text: Column) -> Column:
     return F.pmod(F.xxhash64(text), F.lit(32749)).cast("int")
 
 
+def _extremes(x: np.ndarray, window: int, pick: np.ufunc) -> np.ndarray:
+    """The smallest or largest of each `window` neighbours, by doubling."""
+    done = 1
+    while done < window:
+        step = min(done, window - done)
+        x = pick(x[:-step], x[step:])
+        done += step
+    return x
+
+
 def minimizers(hashes: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """Places of the smallest value of each window of values (the last one among equals), each once."""
-    if len(hashes) == 0:
-        return np.zeros(0, np.int64)
+    """Places of the smallest value of each window of values; of equal values side by side the first."""
     if len(hashes) <= window:
-        return np.array([len(hashes) - 1 - int(np.argmin(hashes[::-1]))])
-    views = np.lib.stride_tricks.sliding_window_view(hashes, window)
-    return np.unique(np.arange(len(views)) + window - 1 - views[:, ::-1].argmin(1))
+        return np.array([int(np.argmin(hashes))]) if len(hashes) else np.zeros(0, np.int64)
+    least = _extremes(hashes, window, np.minimum)
+    around = np.zeros(window - 1, hashes.dtype)
+    chosen = _extremes(np.concatenate([around, least, around]), window, np.maximum) == hashes
+    chosen[1:] &= ~(chosen[:-1] & (hashes[1:] == hashes[:-1]))
+    return np.flatnonzero(chosen)
 
 
 def seeds(docs: DataFrame, seed: int = SEED, window: int = WINDOW) -> DataFrame:
@@ -67,7 +82,7 @@ def anchors(seeded: DataFrame) -> DataFrame:
     The seeds are dealt out in ranges of (h, doc, v, pos), so that one very frequent seed is spread over many tasks; in
     each, the first row of a run of equal seeds is the place that the others refer to. A run that goes on from the
     range before begins in another task: the first places of each range's first and last run (two rows a range) tell
-    where it really began, and are the only thing that is broadcast.
+    where it really began, and are the only thing that goes to the driver and, with the next step, back.
     """
     dealt = seeded.repartitionByRange("h", "doc", "v", "pos").sortWithinPartitions("h", "doc", "v", "pos")
 
@@ -104,12 +119,22 @@ def anchors(seeded: DataFrame) -> DataFrame:
     seeded.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
     found = written(arrow_map(dealt, run, "kind int, h long, doc long, v int, pos int, src long, src_v int, src_pos int", arrays=True), "anchors")
     tune(seeded.sparkSession)
-    edges = found.where("kind = 2")
-    begun = edges.groupBy("h").agg(F.min(F.struct("doc", "v", "pos")).alias("b")).select(F.col("h").alias("eh"), "b")
-    open_ = found.where("kind > 0").join(F.broadcast(begun), F.col("h") == F.col("eh"))
-    open_ = open_.select("doc", "v", "pos", F.col("b.doc").alias("src"), F.col("b.v").alias("src_v"), F.col("b.pos").alias("src_pos"))
-    closed = found.where("kind = 0").select(*open_.columns)
-    return closed.unionByName(open_).where("src != doc")
+    edges = found.where("kind = 2").select("h", "doc", "v", "pos").distinct().orderBy("h", "doc", "v", "pos").collect()  # at most two a range
+    begun: dict[int, tuple] = {}
+    for h, *place in edges:
+        begun.setdefault(h, tuple(place))
+    keys = np.array(sorted(begun), np.int64)
+    places = np.array([begun[h] for h in keys.tolist()], np.int64).reshape(-1, 3)
+
+    def resolve(batches: Iterator[Columns]) -> Iterator[Columns]:
+        for b in batches:
+            src, src_v, src_pos = b["src"].copy(), b["src_v"].copy(), b["src_pos"].copy()
+            open_ = b["kind"] > 0
+            src[open_], src_v[open_], src_pos[open_] = places[np.searchsorted(keys, b["h"][open_])].T
+            keep = src != b["doc"]
+            yield {"doc": b["doc"][keep], "v": b["v"][keep], "pos": b["pos"][keep], "src": src[keep], "src_v": src_v[keep], "src_pos": src_pos[keep]}
+
+    return arrow_map(found, resolve, "doc long, v int, pos int, src long, src_v int, src_pos int", arrays=True)
 
 
 class Fenwick:
@@ -169,64 +194,101 @@ def chains(pos: list[int], src: list[int], seed: int = SEED, max_gap: int = MAX_
     return out
 
 
-#: One row for each piece of a chain: kind 0 the words under seeds, 1 before it, 2 between two seeds, 3 behind it.
-_PIECE = "doc long, v int, src long, src_v int, chain int, kind int, lo int, hi int, src_lo int, src_hi int, matched int"
+#: One row for each piece of a chain, numbered by seq: kind 0 words under seeds, 1 before them, 2 between seeds, 3 behind them.
+_PIECE = "doc long, v int, src long, src_v int, chain int, seq int, kind int, lo int, hi int, src_lo int, src_hi int, matched int"
+
+
+def _chain_rows(pos: list[int], src: list[int], seed: int, max_gap: int, reach: int) -> Iterator[list[tuple]]:
+    """The pieces (kind, lo, hi, src_lo, src_hi, matched) of each chain, in order."""
+    for chain in chains(pos, src, seed, max_gap):
+        i = chain[0]
+        out = [(1, max(0, pos[i] - reach), pos[i], max(0, src[i] - reach), src[i], 0)]
+        lo, s_lo, hi, s_hi = pos[i], src[i], pos[i] + seed, src[i] + seed
+        for i in chain[1:]:
+            a, b = pos[i], src[i]
+            if a - b == lo - s_lo and a <= hi:  # overlapping or touching seeds on one diagonal
+                hi, s_hi = a + seed, b + seed
+                continue
+            shift = max(hi - a, s_hi - b, 0)  # seeds that overlap on another diagonal are cut at the front
+            if shift >= seed:
+                continue
+            out.append((0, lo, hi, s_lo, s_hi, hi - lo))
+            out.append((2, hi, a + shift, s_hi, b + shift, 0))
+            lo, s_lo, hi, s_hi = a + shift, b + shift, a + seed, b + seed
+        out.append((0, lo, hi, s_lo, s_hi, hi - lo))
+        out.append((3, hi, hi + reach, s_hi, s_hi + reach, 0))
+        yield out
 
 
 def chain_pieces(found: DataFrame, seed: int = SEED, max_gap: int = MAX_GAP, reach: int = REACH) -> DataFrame:
     """Chains of each document's anchors. They are grouped by the later document: an anchor for each of its
-    seeds at most, so a group is bounded by one text however many copies there are."""
-    dealt = found.repartition("doc", "v").sortWithinPartitions("doc", "v", "src", "src_v", "pos", "src_pos")
+    seeds at most, so a group is bounded by one text however many copies there are.
 
-    def pieces(key: tuple, pos: list[int], src: list[int], number: int) -> tuple[list[tuple], int]:
-        out = []
-        for chain in chains(pos, src, seed, max_gap):
-            p, s = [pos[i] for i in chain], [src[i] for i in chain]
-            row = (*key, number)
-            out.append((*row, 1, max(0, p[0] - reach), p[0], max(0, s[0] - reach), s[0], 0))
-            start, s_start, covered = p[0], s[0], 0
-            end, s_end = p[0] + seed, s[0] + seed
-            for a, b in zip(p[1:], s[1:], strict=True):
-                if a - b == start - s_start and a <= end:  # overlapping or touching seeds on one diagonal
-                    end, s_end = a + seed, b + seed
-                    continue
-                covered += end - start
-                a0, b0 = max(a, end), max(b, s_end)
-                shift = max(a0 - a, b0 - b)  # seeds that overlap on another diagonal are cut at the front
-                a0, b0 = a + shift, b + shift
-                out.append((*row, 2, end, a0, s_end, b0, 0))
-                start, s_start, end, s_end = a0, b0, a + seed, b + seed
-            covered += max(0, end - start)
-            out.append((*row, 0, p[0], end, s[0], s_end, covered))
-            out.append((*row, 3, end, end + reach, s_end, s_end + reach, 0))
-            number += 1
-        return out, number
+    Where a source lacks a word, the seeds over it have another source; those small chains lie within the span of the large
+    one and are left out (INSIDE, NEAR).
+    """
+    dealt = found.repartition("doc", "v").sortWithinPartitions("doc", "v", "src", "src_v", "pos", "src_pos")
+    names = [c.split()[0] for c in _PIECE.split(", ")]
+
+    def kept(doc: tuple, own: list[tuple]) -> list[tuple]:
+        """own: (words under seeds, src, src_v, pieces) for all chains of a document."""
+        own.sort(key=lambda c: (-c[0], c[3][0][2]))
+        rank = {lo: i for i, lo in enumerate(sorted({p[1] for c in own for p in c[3] if p[0] == 0}))}
+        spans, out = Fenwick(len(rank)), []
+        for number, (_, src, src_v, pieces) in enumerate(own):
+            seeded = [p for p in pieces if p[0] == 0]
+            if spans.below(rank[seeded[0][1]] + 1)[0] >= seeded[-1][2]:
+                continue
+            lo, hi, under = seeded[0][1], seeded[0][2], 0
+            for p in (*seeded, None):
+                if p is None or p[1] - hi > NEAR:
+                    if under >= INSIDE * (hi - lo):
+                        spans.add(rank[lo], (hi, 0))
+                    if p is None:
+                        break
+                    lo, under = p[1], 0
+                hi, under = p[2], under + p[5]
+            out += [(*doc, src, src_v, number, i, *p) for i, p in enumerate(pieces)]
+        return out
 
     def run(batches: Iterator[Columns]) -> Iterator[Columns]:
-        names = [c.split()[0] for c in _PIECE.split(", ")]
-        key, pos, src, number = None, [], [], 0
+        key, pos, src, own = None, [], [], []
+
+        def close() -> None:
+            own.extend((sum(p[5] for p in pieces), key[2], key[3], pieces) for pieces in _chain_rows(pos, src, seed, max_gap, reach))
+
         for b in batches:
             rows = []
             for doc, v, s, sv, p, sp in zip(*(b[c] for c in ("doc", "v", "src", "src_v", "pos", "src_pos")), strict=True):
                 if (doc, v, s, sv) != key:
                     if key:
-                        got, number = pieces(key, pos, src, number)
-                        rows += got
+                        close()
                         if key[:2] != (doc, v):
-                            number = 0
+                            rows += kept(key[:2], own)
+                            own.clear()
                     key, pos, src = (doc, v, s, sv), [], []
                 pos.append(p), src.append(sp)
-            yield dict(zip(names, zip(*rows, strict=True), strict=True)) if rows else dict.fromkeys(names, [])
+            if rows:
+                yield dict(zip(names, zip(*rows, strict=True), strict=True))
         if key:
-            yield dict(zip(names, zip(*pieces(key, pos, src, number)[0], strict=True), strict=True))
+            close()
+            yield dict(zip(names, zip(*kept(key[:2], own), strict=True), strict=True))
 
     return arrow_map(dealt, run, _PIECE)
 
 
-def common_words(a: np.ndarray, b: np.ndarray) -> int:
-    """The longest common subsequence of two short sequences of words."""
+def common_words(a: np.ndarray, b: np.ndarray, enough: float = 2.0) -> int:
+    """The longest common subsequence of two short sequences of words; a smaller one if that is at least the share
+    `enough` of the longer: equal words place by place, or at both ends."""
     if not len(a) or not len(b):
         return 0
+    n = min(len(a), len(b))
+    front, back = a[:n] == b[:n], a[::-1][:n] == b[::-1][:n]
+    if len(a) == len(b) and (same := int(front.sum())) >= enough * n:
+        return same
+    ends = (n if front.all() else int(front.argmin())) + (n if back.all() else int(back.argmin()))
+    if min(ends, n) >= enough * max(len(a), len(b)):
+        return min(ends, n)
     row = np.zeros(len(b) + 1, np.int32)
     for x in a:
         new = row.copy()
@@ -280,7 +342,8 @@ def extension(a: np.ndarray, b: np.ndarray, slack: int = 3) -> tuple[int, int, i
 
 
 def align(pieces: DataFrame, docs: DataFrame) -> DataFrame:
-    """The chains' spans and numbers of matched words: one row (doc, v, src, src_v, chain, lo, hi, src_lo, src_hi, matched) each.
+    """The pieces with their matched words and with the ends of kinds 1 and 3 where the texts stop being alike. Words between two
+    seeds of which too few match become an end (3) and a beginning (1).
 
     Only the words around the ends and between seeds are fetched, as 32-bit word hashes: distinct slices on a grid of GRID
     words are cut from the texts, joined to the pieces that need them from either side, and aligned.
@@ -307,54 +370,81 @@ def align(pieces: DataFrame, docs: DataFrame) -> DataFrame:
     b = slices.select(F.col("doc").alias("b_doc"), F.col("v").alias("b_v"), F.col("from").alias("b_from"), F.col("to").alias("b_to"), F.col("w").alias("b_w"))
     both = asked.join(a, (F.col("doc") == F.col("a_doc")) & (F.col("v") == F.col("a_v")) & (F.col("g_lo") == F.col("a_from")) & (F.col("g_hi") == F.col("a_to")))
     both = both.join(b, (F.col("src") == F.col("b_doc")) & (F.col("src_v") == F.col("b_v")) & (F.col("s_lo") == F.col("b_from")) & (F.col("s_hi") == F.col("b_to")))
-    names = ("doc", "v", "src", "src_v", "chain", "kind", "lo", "hi", "src_lo", "src_hi")
+    names = ("doc", "v", "src", "src_v", "chain", "seq", "kind", "lo", "hi", "src_lo", "src_hi")
 
     def run(batches: Iterator[Columns]) -> Iterator[Columns]:
         for c in batches:
-            out = {k: c[k] for k in names} | {"matched": []}
-            for i, (kind, lo, hi, s_lo, s_hi, g, s, aw, bw) in enumerate(zip(*(c[k] for k in ("kind", "lo", "hi", "src_lo", "src_hi", "g_lo", "s_lo", "a_w", "b_w")), strict=True)):
+            out = []
+            for *chain, seq, kind, lo, hi, s_lo, s_hi, g, s, aw, bw in zip(*(c[k] for k in (*names, "g_lo", "s_lo", "a_w", "b_w")), strict=True):
                 x, y = np.frombuffer(aw, np.uint32)[lo - g : hi - g], np.frombuffer(bw, np.uint32)[s_lo - s : s_hi - s]
                 if kind == 2:
-                    out["matched"].append(common_words(x, y))
-                    continue
-                m, n, matched = extension(x[::-1], y[::-1]) if kind == 1 else extension(x, y)
-                out["matched"].append(matched)
-                if kind == 1:
-                    out["lo"][i], out["src_lo"][i] = hi - m, s_hi - n
-                else:
-                    out["hi"][i], out["src_hi"][i] = lo + m, s_lo + n
-            yield out
+                    matched = common_words(x, y, GAP_IDENTITY)
+                    if matched >= GAP_IDENTITY * max(len(x), len(y)) or max(len(x), len(y)) <= TOUCH:
+                        out.append((*chain, 4 * seq, 2, lo, hi, s_lo, s_hi, matched))
+                        continue
+                if kind != 1:
+                    m, n, matched = extension(x, y)
+                    out.append((*chain, 4 * seq, 3, lo, lo + m, s_lo, s_lo + n, matched))
+                if kind != 3:
+                    m, n, matched = extension(x[::-1], y[::-1])
+                    out.append((*chain, 4 * seq + 1, 1, hi - m, hi, s_hi - n, s_hi, matched))
+            columns = [k.split()[0] for k in _PIECE.split(", ")]
+            yield dict(zip(columns, zip(*out, strict=True), strict=True)) if out else dict.fromkeys(columns, [])
 
     aligned = arrow_map(both.select(*names, "g_lo", "s_lo", "a_w", "b_w"), run, _PIECE)
-    whole = aligned.unionByName(pieces.where("kind = 0").select(*aligned.columns))
-    return whole.groupBy("doc", "v", "src", "src_v", "chain").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("src_lo").alias("src_lo"), F.max("src_hi").alias("src_hi"), F.sum("matched").cast("int").alias("matched"))
-
-
-def _passages(chained: DataFrame, min_chain: int, min_words: int, identity: float) -> DataFrame:
-    """Chains with enough equal words whose run of touching chains is long enough, with that run's span."""
-    good = chained.where((F.col("hi") - F.col("lo") >= min_chain) & (F.col("matched") >= identity * F.greatest(F.col("hi") - F.col("lo"), F.col("src_hi") - F.col("src_lo"))))
-    dealt = good.repartition("doc", "v").sortWithinPartitions("doc", "v", "lo", "hi", "src", "src_lo")
-    names = ("doc", "v", "lo", "hi", "src", "src_lo", "src_hi", "matched")
+    under = pieces.where("kind = 0").withColumn("seq", (4 * F.col("seq")).cast("int"))
+    return aligned.unionByName(under.select(*aligned.columns))
+
+
+def _passages(aligned: DataFrame, min_chain: int, min_words: int, identity: float) -> DataFrame:
+    """Chains with enough equal words whose run of touching chains is long enough, with that run's span. A group is the
+    pieces of one document."""
+    dealt = aligned.repartition("doc", "v").sortWithinPartitions("doc", "v", "chain", "seq")
+    names = ("doc", "v", "lo", "hi", "src", "src_lo", "src_hi", "matched", "run_lo", "run_hi")
+
+    def whole(chain: list[tuple]) -> list[tuple]:
+        """Chains, cut where words don't match, as (lo, hi, src, src_lo, src_hi, matched)."""
+        out, now = [], None
+        for kind, src, lo, hi, s_lo, s_hi, matched in chain:
+            if kind == 1 or now is None:
+                now = [lo, hi, src, s_lo, s_hi, 0]
+            now[1], now[4], now[5] = hi, s_hi, now[5] + matched
+            if kind == 3:
+                out.append(tuple(now))
+                now = None
+        return [c for c in out if c[1] - c[0] >= min_chain and c[5] >= identity * max(c[1] - c[0], c[4] - c[3])]
+
+    def runs(key: tuple, own: list[tuple]) -> list[tuple]:
+        out, run, end = [], [], 0
+        for c in (*sorted(own), None):
+            if run and (c is None or c[0] > end + TOUCH):
+                if end - run[0][0] >= min_words:
+                    out += [(*key, *r, run[0][0], end) for r in run]
+                run = []
+            if c is not None:
+                end = max(end, c[1]) if run else c[1]
+                run.append(c)
+        return out
 
     def run(batches: Iterator[Columns]) -> Iterator[Columns]:
-        key, rows, end = None, [], 0
-
-        def out() -> list[tuple]:
-            return [(*r, rows[0][2], end) for r in rows] if rows and end - rows[0][2] >= min_words else []
-
+        key, number, chain, own = None, None, [], []
         for b in batches:
             done = []
-            for row in zip(*(b[c] for c in names), strict=True):
-                if row[:2] != key or row[2] > end + TOUCH:
-                    done += out()
-                    key, rows, end = row[:2], [], 0
-                rows.append(row)
-                end = max(end, row[3])
-            yield dict(zip((*names, "run_lo", "run_hi"), zip(*done, strict=True), strict=True)) if done else dict.fromkeys((*names, "run_lo", "run_hi"), [])
-        if done := out():
-            yield dict(zip((*names, "run_lo", "run_hi"), zip(*done, strict=True), strict=True))
-
-    return arrow_map(dealt.select(*names), run, "doc long, v int, lo int, hi int, src long, src_lo int, src_hi int, matched int, run_lo int, run_hi int")
+            for doc, v, n, *piece in zip(*(b[c] for c in ("doc", "v", "chain", "kind", "src", "lo", "hi", "src_lo", "src_hi", "matched")), strict=True):
+                if (doc, v) != key or n != number:
+                    own += whole(chain)
+                    chain = []
+                    if (doc, v) != key:
+                        if key:
+                            done += runs(key, own)
+                        own = []
+                    key, number = (doc, v), n
+                chain.append(tuple(piece))
+            yield dict(zip(names, zip(*done, strict=True), strict=True)) if done else dict.fromkeys(names, [])
+        if key and (done := runs(key, own + whole(chain))):
+            yield dict(zip(names, zip(*done, strict=True), strict=True))
+
+    return arrow_map(dealt, run, "doc long, v int, lo int, hi int, src long, src_lo int, src_hi int, matched int, run_lo int, run_hi int")
 
 
 def _found(docs: DataFrame, id_col: str, text_col: str, min_words: int, identity: float) -> DataFrame:
@@ -411,7 +501,7 @@ def cut_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     runs = _found(docs, id_col, text_col, min_words, identity).select(F.col("doc").alias("_doc"), F.col("v").alias("_v"), "run_lo", "run_hi").distinct()
     cuts = written(runs.groupBy("_doc", "_v").agg(F.sort_array(F.collect_list(F.struct("run_lo", "run_hi"))).alias("_cuts")), "cuts")
     keyed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[id_col].cast("long").alias("id"), version(as_bytes(text_col)).alias("key"))
-    joined = keyed.join(cuts, (F.col("id") == F.col("_doc")) & (F.col("key") == F.col("_v")), "left")
+    joined = keyed.join(cuts.hint("merge"), (F.col("id") == F.col("_doc")) & (F.col("key") == F.col("_v")), "left")
     tune(docs.sparkSession)
 
     @F.pandas_udf("string")
