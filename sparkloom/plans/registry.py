@@ -51,4 +51,4 @@ def oracle_sql() -> dict[str, str]:
 
 def _load() -> None:
     """Import the modules that register queries."""
-    from sparkloom.plans import aggregates, joins, predicates, scalars, series, storage, streams, text  # noqa: F401
+    from sparkloom.plans import aggregates, joins, predicates, scalars, series, shapes, state, storage, streams, text  # noqa: F401
