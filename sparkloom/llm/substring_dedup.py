@@ -397,10 +397,10 @@ def align(pieces: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _passages(aligned: DataFrame, min_chain: int, min_words: int, identity: float) -> DataFrame:
-    """Chains with enough equal words whose run of touching chains is long enough, with that run's span. A group is the
-    pieces of one document."""
+    """A row for each run of touching chains with enough equal words that is long enough: its span, its longest chain, and the
+    sources of all its chains. A group is the pieces of one document."""
     dealt = aligned.repartition("doc", "v").sortWithinPartitions("doc", "v", "chain", "seq")
-    names = ("doc", "v", "lo", "hi", "src", "src_lo", "src_hi", "matched", "run_lo", "run_hi")
+    names = ("doc", "v", "lo", "hi", "src", "src_lo", "src_hi", "matched", "run_lo", "run_hi", "sources")
 
     def whole(chain: list[tuple]) -> list[tuple]:
         """Chains, cut where words don't match, as (lo, hi, src, src_lo, src_hi, matched)."""
@@ -419,7 +419,8 @@ def _passages(aligned: DataFrame, min_chain: int, min_words: int, identity: floa
         for c in (*sorted(own), None):
             if run and (c is None or c[0] > end + TOUCH):
                 if end - run[0][0] >= min_words:
-                    out += [(*key, *r, run[0][0], end) for r in run]
+                    main = max(run, key=lambda r: (r[5], -r[2], -r[0]))
+                    out.append((*key, *main, run[0][0], end, sorted({r[2] for r in run})))
                 run = []
             if c is not None:
                 end = max(end, c[1]) if run else c[1]
@@ -444,7 +445,7 @@ def _passages(aligned: DataFrame, min_chain: int, min_words: int, identity: floa
         if key and (done := runs(key, own + whole(chain))):
             yield dict(zip(names, zip(*done, strict=True), strict=True))
 
-    return arrow_map(dealt, run, "doc long, v int, lo int, hi int, src long, src_lo int, src_hi int, matched int, run_lo int, run_hi int")
+    return arrow_map(dealt, run, "doc long, v int, lo int, hi int, src long, src_lo int, src_hi int, matched int, run_lo int, run_hi int, sources array<long>")
 
 
 def _found(docs: DataFrame, id_col: str, text_col: str, min_words: int, identity: float) -> DataFrame:
@@ -460,9 +461,10 @@ def _found(docs: DataFrame, id_col: str, text_col: str, min_words: int, identity
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, identity: float = IDENTITY) -> DataFrame:
     """Passages that an earlier document (one with a smaller id) has too, exactly or with small changes.
 
-    Per chain: id, first_word, last_word (from 0, inclusive), source_id, source_first, source_last, words, matched (equal
-    words), passage_first and passage_last (the run of touching chains it belongs to, of at least min_words words).
-    Words are lower-cased runs of bytes other than ASCII white space; whole texts are read.
+    A row for each passage: id, passage_first, passage_last (words from 0, inclusive; at least min_words of them), source_ids (the
+    documents that it is from), and the longest stretch with one source: first_word, last_word, source_id, source_first,
+    source_last, words, matched (equal words). Words are lower-cased runs of bytes other than ASCII white space; whole
+    texts are read.
 
     Every seed refers to its first place only, so a passage in n documents costs n references and no pair of
     the later ones; each later document has a row for it. Rows without an id and texts with fewer words than a seed
@@ -473,7 +475,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     kind = docs.schema[id_col].dataType
     return p.select(
         F.col("doc").cast(kind).alias(id_col), F.col("lo").alias("first_word"), (F.col("hi") - 1).alias("last_word"), F.col("src").cast(kind).alias("source_id"), F.col("src_lo").alias("source_first"),
-        (F.col("src_hi") - 1).alias("source_last"), (F.col("hi") - F.col("lo")).alias("words"), "matched", F.col("run_lo").alias("passage_first"), (F.col("run_hi") - 1).alias("passage_last"),
+        (F.col("src_hi") - 1).alias("source_last"), (F.col("hi") - F.col("lo")).alias("words"), "matched", F.col("run_lo").alias("passage_first"), (F.col("run_hi") - 1).alias("passage_last"), F.col("sources").cast(f"array<{kind.simpleString()}>").alias("source_ids"),
     )
 
 
@@ -498,7 +500,7 @@ def cut_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     The first document that has a passage keeps it. Rows without an id, null texts and texts without repeated passages
     come through unchanged.
     """
-    runs = _found(docs, id_col, text_col, min_words, identity).select(F.col("doc").alias("_doc"), F.col("v").alias("_v"), "run_lo", "run_hi").distinct()
+    runs = _found(docs, id_col, text_col, min_words, identity).select(F.col("doc").alias("_doc"), F.col("v").alias("_v"), "run_lo", "run_hi")
     cuts = written(runs.groupBy("_doc", "_v").agg(F.sort_array(F.collect_list(F.struct("run_lo", "run_hi"))).alias("_cuts")), "cuts")
     keyed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[id_col].cast("long").alias("id"), version(as_bytes(text_col)).alias("key"))
     joined = keyed.join(cuts.hint("merge"), (F.col("id") == F.col("_doc")) & (F.col("key") == F.col("_v")), "left")
