@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import Columns, WordHashes, arrow_map, as_bytes, mix64, shingle_hashes, tune, words_of, written
+from sparkloom.llm.common import Columns, WordHashes, arrow_map, as_bytes, dropped, mix64, shingle_hashes, tune, words_of, written
 from sparkloom.llm.components import components
 
 SHINGLE = 5
@@ -140,7 +140,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shingle: in
                         x.append(c), p.append(own)
             yield {"x": x, "p": p}
 
-    return arrow_map(dealt, run, "x binary, p binary")
+    out = written(arrow_map(dealt, run, "x binary, p binary"), "verified")
+    dropped(routes)
+    return out
 
 
 def _crossing(buckets: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
@@ -221,15 +223,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # first each class with the one pivot with which it shares most buckets
     shared = buckets.where("c != p").groupBy(F.col("c").alias("x"), "p").agg(F.count(F.lit(1)).alias("n"))
     best = shared.groupBy("x").agg(F.max_by("p", F.struct("n", "p")).alias("p"))
-    links = written(_verified(written(_agreeing(best, classes, similarity), "stars"), body, classes, shingle, similarity), "verified")
-    labels = written(components(links.select(F.col("x").alias("a"), F.col("p").alias("b"))).select("node", F.col("root").alias("label")), "labels")
+    stars = written(_agreeing(best, classes, similarity), "stars")
+    links = _verified(stars, body, classes, shingle, similarity)
+    joined = components(links.select(F.col("x").alias("a"), F.col("p").alias("b")))
     # then every pair that shares a bucket and isn't joined yet
-    more = written(_crossing(buckets, labels, classes), "crossing")
-    more_links = written(_verified(more, body, classes, shingle, similarity), "verified")
+    more = written(_crossing(buckets, joined.withColumnRenamed("root", "label"), classes), "crossing")
+    more_links = _verified(more, body, classes, shingle, similarity)
     roots = components(links.union(more_links).select(F.col("x").alias("a"), F.col("p").alias("b")))
     linked = classes.join(roots, classes["c"] == roots["node"], "left").select("c", "first", F.coalesce("root", "c").alias("root"))
     smallest = linked.groupBy("root").agg(F.min("first").alias("smallest"))
     named = written(linked.join(smallest, "root").select("c", F.col("smallest").alias("component")), "named")
+    for table in (classes, pivots, buckets, stars, links, joined, more, more_links, roots):
+        dropped(table)
     out = rows.select("id", "n", "c").join(named, "c", "left")
     component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))

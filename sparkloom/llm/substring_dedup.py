@@ -453,8 +453,10 @@ def _found(docs: DataFrame, id_col: str, text_col: str, min_words: int, identity
     text = as_bytes(text_col)
     body = docs.where(docs[id_col].isNotNull()).select(docs[id_col].cast("long").alias("doc"), version(text).alias("v"), text.alias("t"))
     seeded = written(seeds(body), "seeds")
-    pieces = written(chain_pieces(anchors(seeded)), "pieces")
+    found = anchors(seeded)
     dropped(seeded)
+    pieces = written(chain_pieces(found), "pieces")
+    dropped(found)
     return _passages(align(pieces, body), MIN_CHAIN, min_words, identity)
 
 
