@@ -203,7 +203,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Rows with equal shingle sets are one class; what follows works on classes, so copies cost a row each. The pivot of
     a band bucket is its smallest member. Every class is checked exactly with the pivot that it shares most buckets with,
-    and links become components by alternating stars. A bucket whose members aren't all joined by that is then compared
+    and joined to it if they are similar. A bucket whose members aren't all joined by that is then compared
     block by block, so no pair that shares a bucket is left out unless it is joined already, and a large group of near
     copies needs a number of checks in proportion to its size.
 
@@ -225,9 +225,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     best = shared.groupBy("x").agg(F.max_by("p", F.struct("n", "p")).alias("p"))
     stars = written(_agreeing(best, classes, similarity), "stars")
     links = _verified(stars, body, classes, shingle, similarity)
-    joined = components(links.select(F.col("x").alias("a"), F.col("p").alias("b")))
+    joined = links.select(F.col("x").alias("node"), F.col("p").alias("label"))
+    for _ in range(2):  # the pivot's pivot, and on
+        onward = joined.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        joined = joined.join(onward, "label", "left").select("node", F.coalesce("next", "label").alias("label"))
+    joined = written(joined, "joined")
     # then every pair that shares a bucket and isn't joined yet
-    more = written(_crossing(buckets, joined.withColumnRenamed("root", "label"), classes), "crossing")
+    more = written(_crossing(buckets, joined, classes), "crossing")
     more_links = _verified(more, body, classes, shingle, similarity)
     roots = components(links.union(more_links).select(F.col("x").alias("a"), F.col("p").alias("b")))
     linked = classes.join(roots, classes["c"] == roots["node"], "left").select("c", "first", F.coalesce("root", "c").alias("root"))
