@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import Columns, WordHashes, arrow_map, as_bytes, dropped, mix64, shingle_hashes, tune, words_of, written
@@ -17,8 +17,10 @@ SIMILARITY = 75
 #: A pair at the threshold shares no band with probability (1 - 0.75**ROWS)**BANDS, about 1 in 40,000.
 BANDS, ROWS = 28, 4
 #: Pairs that agree in fewer coordinates than this aren't checked. At the threshold 84 of 112 are expected with a
-#: deviation of 4.6, so this is 4.8 deviations away: one such pair in a million, far fewer than share no band.
-LEAST_AGREEMENT = 62
+#: deviation of 4.6, so this is 3.9 deviations away: about as few such pairs as share no band.
+LEAST_AGREEMENT = 66
+#: Pivots that a class is checked with first.
+FIRST = 3
 #: Members of a bucket that are compared in one block, and partners of one document that are checked in one task.
 BLOCK, PARTNERS = 512, 256
 
@@ -220,16 +222,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = classes.select(F.posexplode("bands").alias("band", "key"), "c")
     pivots = written(members.groupBy("key").agg(F.min("c").alias("p"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "p"), "pivots")
     buckets = written(members.join(pivots, "key"), "buckets")
-    # first each class with the one pivot with which it shares most buckets
+    # first each class with the pivots with which it shares most buckets
     shared = buckets.where("c != p").groupBy(F.col("c").alias("x"), "p").agg(F.count(F.lit(1)).alias("n"))
-    best = shared.groupBy("x").agg(F.max_by("p", F.struct("n", "p")).alias("p"))
+    rank = F.row_number().over(Window.partitionBy("x").orderBy(F.desc("n"), "p"))  # at most BANDS rows a class
+    best = shared.withColumn("rank", rank).where(F.col("rank") <= FIRST).select("x", "p")
     stars = written(_agreeing(best, classes, similarity), "stars")
     links = _verified(stars, body, classes, shingle, similarity)
-    joined = links.select(F.col("x").alias("node"), F.col("p").alias("label"))
-    for _ in range(2):  # the pivot's pivot, and on
-        onward = joined.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        joined = joined.join(onward, "label", "left").select("node", F.coalesce("next", "label").alias("label"))
-    joined = written(joined, "joined")
+    joined = components(links.select(F.col("x").alias("a"), F.col("p").alias("b"))).withColumnRenamed("root", "label")
     # then every pair that shares a bucket and isn't joined yet
     more = written(_crossing(buckets, joined, classes), "crossing")
     more_links = _verified(more, body, classes, shingle, similarity)
