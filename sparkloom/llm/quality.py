@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import Columns, arrow_map, as_bytes, held_out, tune
+from sparkloom.llm.common import Columns, arrow_map, as_bytes, first_by_hash, held_out, tune
 
 #: At most this many labelled rows, the first by a hash of the id, are used to fit a model.
 FIT_ROWS = 20_000
@@ -134,7 +134,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality",
     same at every run). Their ids, a bounded number, are broadcast; the driver gets only the statistics of their
     texts. Without labels each score is 0.5."""
     known = labels.where(F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col))).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
-    chosen = known.orderBy(F.xxhash64("_id"), "_id", "_y").limit(fit_rows)
+    chosen = first_by_hash(known, fit_rows, "_id", "_y")
     body = docs.select(docs[id_col].alias("_doc"), as_bytes(text_col).alias("t"))
 
     def run(batches: Iterator[Columns]) -> Iterator[Columns]:

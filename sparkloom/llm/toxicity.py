@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import Columns, arrow_map, as_bytes, held_out, tune, written
+from sparkloom.llm.common import Columns, arrow_map, as_bytes, first_by_hash, held_out, tune, written
 
 #: At most this many labelled rows, the first by a hash of the id, are used to learn from.
 FIT_ROWS = 20_000
@@ -258,7 +258,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, i
     """
     tune(docs.sparkSession)
     known = labels.where(F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col))).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
-    chosen = known.orderBy(F.xxhash64("_id"), "_id", "_y").limit(fit_rows)
+    chosen = first_by_hash(known, fit_rows, "_id", "_y")
     body = docs.select(docs[id_col].alias("_doc"), as_bytes(text_col).alias("_t"))
     sample = written(body.join(F.broadcast(chosen), body["_doc"] == chosen["_id"]).select("_t", "_y"), "toxicity")
     counts = {r["_y"]: r["count"] for r in sample.groupBy("_y").count().collect()}
