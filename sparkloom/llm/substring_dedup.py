@@ -21,9 +21,6 @@ MAX_GAP, GAP_COST = 96, 0.05
 MIN_CHAIN, MIN_WORDS = 16, 50
 #: Share of a chain's words that must match; a chain is cut where of the words between two seeds less than GAP_IDENTITY do.
 IDENTITY, GAP_IDENTITY = 0.8, 0.6
-#: A chain is left out if it lies within a stretch of another one that has this share of its words under seeds and no
-#: gap above NEAR words.
-INSIDE, NEAR = 0.2, 32
 #: Passages of one text that lie at most so many words apart are one.
 TOUCH = 4
 #: Slices of texts are asked for in multiples of so many words, so that many chains ask for the same ones.
@@ -224,55 +221,37 @@ def chain_pieces(found: DataFrame, seed: int = SEED, max_gap: int = MAX_GAP, rea
     """Chains of each document's anchors. They are grouped by the later document: an anchor for each of its
     seeds at most, so a group is bounded by one text however many copies there are.
 
-    Where a source lacks a word, the seeds over it have another source; those small chains lie within the span of the large
-    one and are left out (INSIDE, NEAR).
+    Every chain goes on to alignment. Where a source lacks a word, the seeds over it have another source; those small chains lie
+    within the span of the large one, but only alignment tells whether that one really matches there.
     """
     dealt = found.repartition("doc", "v").sortWithinPartitions("doc", "v", "src", "src_v", "pos", "src_pos")
     names = [c.split()[0] for c in _PIECE.split(", ")]
 
-    def kept(doc: tuple, own: list[tuple]) -> list[tuple]:
-        """own: (words under seeds, src, src_v, pieces) for all chains of a document."""
-        own.sort(key=lambda c: (-c[0], c[3][0][2]))
-        rank = {lo: i for i, lo in enumerate(sorted({p[1] for c in own for p in c[3] if p[0] == 0}))}
-        spans, out = Fenwick(len(rank)), []
-        for number, (_, src, src_v, pieces) in enumerate(own):
-            seeded = [p for p in pieces if p[0] == 0]
-            if spans.below(rank[seeded[0][1]] + 1)[0] >= seeded[-1][2]:
-                continue
-            lo, hi, under = seeded[0][1], seeded[0][2], 0
-            for p in (*seeded, None):
-                if p is None or p[1] - hi > NEAR:
-                    if under >= INSIDE * (hi - lo):
-                        spans.add(rank[lo], (hi, 0))
-                    if p is None:
-                        break
-                    lo, under = p[1], 0
-                hi, under = p[2], under + p[5]
-            out += [(*doc, src, src_v, number, i, *p) for i, p in enumerate(pieces)]
-        return out
-
     def run(batches: Iterator[Columns]) -> Iterator[Columns]:
-        key, pos, src, own = None, [], [], []
+        key, number, pos, src = None, 0, [], []
 
-        def close() -> None:
-            own.extend((sum(p[5] for p in pieces), key[2], key[3], pieces) for pieces in _chain_rows(pos, src, seed, max_gap, reach))
+        def close() -> list[tuple]:
+            nonlocal number
+            out = []
+            for pieces in _chain_rows(pos, src, seed, max_gap, reach):
+                out += [(*key, number, i, *p) for i, p in enumerate(pieces)]
+                number += 1
+            return out
 
         for b in batches:
             rows = []
-            for doc, v, s, sv, p, sp in zip(*(b[c] for c in ("doc", "v", "src", "src_v", "pos", "src_pos")), strict=True):
-                if (doc, v, s, sv) != key:
+            for *place, p, sp in zip(*(b[c] for c in ("doc", "v", "src", "src_v", "pos", "src_pos")), strict=True):
+                if place != key:
                     if key:
-                        close()
-                        if key[:2] != (doc, v):
-                            rows += kept(key[:2], own)
-                            own.clear()
-                    key, pos, src = (doc, v, s, sv), [], []
+                        rows += close()
+                        if key[:2] != place[:2]:
+                            number = 0
+                    key, pos, src = place, [], []
                 pos.append(p), src.append(sp)
             if rows:
                 yield dict(zip(names, zip(*rows, strict=True), strict=True))
         if key:
-            close()
-            yield dict(zip(names, zip(*kept(key[:2], own), strict=True), strict=True))
+            yield dict(zip(names, zip(*close(), strict=True), strict=True))
 
     return arrow_map(dealt, run, _PIECE)
 

@@ -276,6 +276,19 @@ def test_planted_passages_are_found(spark):
     assert all(cut[i] == texts[i].split() for i in texts if i not in spans and texts[i])
 
 
+def test_a_clause_that_the_first_source_lacks(spark):
+    """The long chain with document 1 is cut at the clause; the short one with document 2 lies in its span and closes the gap."""
+    passage = [f"p{i}" for i in range(90)]
+    other = passage[:38] + [f"c{i}" for i in range(14)] + passage[52:]
+    own = lambda i, n: [f"own{i}x{j}" for j in range(n)]
+    texts = {1: own(1, 20) + other + own(11, 20), 2: own(2, 30) + passage + own(12, 30), 3: own(3, 25) + passage + own(13, 25)}
+    df = spark.createDataFrame([(k, " ".join(v)) for k, v in texts.items()], "doc_id long, text string")
+    third = [r for r in substring_dedup.repeated_passages(df).collect() if r["doc_id"] == 3]
+    assert [(r["passage_first"], r["passage_last"], r["source_ids"]) for r in third] == [(25, 114, [1, 2])]
+    cut = {r["doc_id"]: r["text"].split() for r in substring_dedup.cut_passages(df).collect()}
+    assert cut[3] == own(3, 25) + own(13, 25) and cut[1] == texts[1]
+
+
 def test_hot_passage_over_many_ranges(spark):
     """One passage in every document: each refers to the first, in whatever range of seeds it lies."""
     p = " ".join(f"p{i}" for i in range(70))
