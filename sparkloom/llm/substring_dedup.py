@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from sparkloom.llm.common import Columns, WordHashes, arrow_map, as_bytes, dropped, mix64, shingle_hashes, tune, words_of, written
 
 #: Words of a seed, and seeds of which the one with the smallest hash is kept: an exact repeat of
-#: SEED + WINDOW - 1 = 23 words always shares a seed.
-SEED, WINDOW = 8, 16
+#: SEED + WINDOW - 1 = 11 words always shares a seed.
+SEED, WINDOW = 6, 6
 #: A chain may skip so many words in either text between two seeds; each skipped word costs GAP_COST of a matched one.
 #: Where every 20th word is changed, seeds that survive are some 40 words apart.
 MAX_GAP, GAP_COST = 96, 0.05
@@ -25,8 +25,8 @@ IDENTITY, GAP_IDENTITY = 0.8, 0.6
 TOUCH = 4
 #: Slices of texts are asked for in multiples of so many words, so that many chains ask for the same ones.
 GRID = 32
-#: Words beyond a chain's ends that are looked at.
-REACH = SEED + WINDOW
+#: Words beyond a chain's ends that are looked at first; while the texts stay alike, GROW times as many.
+REACH, GROW = 24, 4
 
 
 def version(text: Column) -> Column:
@@ -277,7 +277,12 @@ def common_words(a: np.ndarray, b: np.ndarray, enough: float = 2.0) -> int:
 
 
 def extension(a: np.ndarray, b: np.ndarray, slack: int = 3) -> tuple[int, int, int]:
-    """How far two sequences that begin at the same place stay alike: (words of a, words of b, matched).
+    """How far two sequences that begin at the same place stay alike: (words of a, words of b, matched)."""
+    return _extension(a, b, slack)[0]
+
+
+def _extension(a: np.ndarray, b: np.ndarray, slack: int = 3) -> tuple[tuple[int, int, int], bool]:
+    """extension(), and whether it ended only as there were no more words.
 
     Equal words are worth 1, a change, an extra or a missing word costs 1; the best end is taken, and the search
     ends when no alignment is within `slack` of it.
@@ -289,7 +294,7 @@ def extension(a: np.ndarray, b: np.ndarray, slack: int = 3) -> tuple[int, int, i
         n = int(differ[0]) if len(differ) else limit
     best = (n, n, n)
     if n == limit:
-        return best
+        return best, True
     # rows of a banded alignment from the first difference on: offset -> (score, matched)
     row = {0: (0, 0)}
     top = 0
@@ -315,20 +320,35 @@ def extension(a: np.ndarray, b: np.ndarray, slack: int = 3) -> tuple[int, int, i
                 if new[off][0] > top:
                     top, best = new[off][0], (i, j, n + new[off][1])
         if not new:
-            break
+            return best, max(best[0] - len(a), best[1] - len(b)) >= -slack
         row = new
-    return best
+    return best, True
 
 
 def align(pieces: DataFrame, docs: DataFrame) -> DataFrame:
     """The pieces with their matched words and with the ends of kinds 1 and 3 where the texts stop being alike. Words between two
     seeds of which too few match become an end (3) and a beginning (1).
 
+    Ends that are alike as far as was looked are looked at again, GROW times as far, until the texts differ or one is at its end.
+    """
+    pieces = pieces.withColumn("seq", (4 * F.col("seq")).cast("int"))
+    done, asked = pieces.where("kind = 0"), pieces.where("kind > 0")
+    while True:
+        aligned = written(_align(asked, docs), "aligned")
+        done = done.unionByName(aligned.where("more = 0").select(*done.columns))
+        asked = aligned.where("more = 1").drop("more")
+        if asked.isEmpty():
+            return done
+
+
+def _align(asked: DataFrame, docs: DataFrame) -> DataFrame:
+    """The asked pieces, aligned (more: 0), or to be looked at again with the words that then are wanted (more: 1).
+
     Only the words around the ends and between seeds are fetched, as 32-bit word hashes: distinct slices on a grid of GRID
     words are cut from the texts, joined to the pieces that need them from either side, and aligned.
     """
     grid = lambda c, up: (F.floor((F.col(c) + (GRID - 1 if up else 0)) / GRID) * GRID).cast("int")
-    asked = pieces.where("kind > 0").withColumns({"g_lo": grid("lo", False), "g_hi": grid("hi", True), "s_lo": grid("src_lo", False), "s_hi": grid("src_hi", True)})
+    asked = asked.withColumns({"g_lo": grid("lo", False), "g_hi": grid("hi", True), "s_lo": grid("src_lo", False), "s_hi": grid("src_hi", True)})
     own = asked.select("doc", "v", F.col("g_lo").alias("from"), F.col("g_hi").alias("to"))
     other = asked.select(F.col("src").alias("doc"), F.col("src_v").alias("v"), F.col("s_lo").alias("from"), F.col("s_hi").alias("to"))
     wanted = own.union(other).distinct().withColumnsRenamed({"doc": "w_doc", "v": "w_v"})
@@ -350,6 +370,7 @@ def align(pieces: DataFrame, docs: DataFrame) -> DataFrame:
     both = asked.join(a, (F.col("doc") == F.col("a_doc")) & (F.col("v") == F.col("a_v")) & (F.col("g_lo") == F.col("a_from")) & (F.col("g_hi") == F.col("a_to")))
     both = both.join(b, (F.col("src") == F.col("b_doc")) & (F.col("src_v") == F.col("b_v")) & (F.col("s_lo") == F.col("b_from")) & (F.col("s_hi") == F.col("b_to")))
     names = ("doc", "v", "src", "src_v", "chain", "seq", "kind", "lo", "hi", "src_lo", "src_hi")
+    kinds = _PIECE + ", more int"
 
     def run(batches: Iterator[Columns]) -> Iterator[Columns]:
         for c in batches:
@@ -359,20 +380,26 @@ def align(pieces: DataFrame, docs: DataFrame) -> DataFrame:
                 if kind == 2:
                     matched = common_words(x, y, GAP_IDENTITY)
                     if matched >= GAP_IDENTITY * max(len(x), len(y)) or max(len(x), len(y)) <= TOUCH:
-                        out.append((*chain, 4 * seq, 2, lo, hi, s_lo, s_hi, matched))
+                        out.append((*chain, seq, 2, lo, hi, s_lo, s_hi, matched, 0))
                         continue
                 if kind != 1:
-                    m, n, matched = extension(x, y)
-                    out.append((*chain, 4 * seq, 3, lo, lo + m, s_lo, s_lo + n, matched))
+                    (m, n, matched), open_ = _extension(x, y)
+                    if kind == 3 and open_ and len(x) == hi - lo and len(y) == s_hi - s_lo:
+                        far = GROW * (hi - lo)
+                        out.append((*chain, seq, 3, lo, lo + far, s_lo, s_lo + far, 0, 1))
+                    else:
+                        out.append((*chain, seq, 3, lo, lo + m, s_lo, s_lo + n, matched, 0))
                 if kind != 3:
-                    m, n, matched = extension(x[::-1], y[::-1])
-                    out.append((*chain, 4 * seq + 1, 1, hi - m, hi, s_hi - n, s_hi, matched))
-            columns = [k.split()[0] for k in _PIECE.split(", ")]
+                    (m, n, matched), open_ = _extension(x[::-1], y[::-1])
+                    if kind == 1 and open_ and lo and s_lo:
+                        far = GROW * (hi - lo)
+                        out.append((*chain, seq, 1, max(0, hi - far), hi, max(0, s_hi - far), s_hi, 0, 1))
+                    else:
+                        out.append((*chain, seq + (kind == 2), 1, hi - m, hi, s_hi - n, s_hi, matched, 0))
+            columns = [k.split()[0] for k in kinds.split(", ")]
             yield dict(zip(columns, zip(*out, strict=True), strict=True)) if out else dict.fromkeys(columns, [])
 
-    aligned = arrow_map(both.select(*names, "g_lo", "s_lo", "a_w", "b_w"), run, _PIECE)
-    under = pieces.where("kind = 0").withColumn("seq", (4 * F.col("seq")).cast("int"))
-    return aligned.unionByName(under.select(*aligned.columns))
+    return arrow_map(both.select(*names, "g_lo", "s_lo", "a_w", "b_w"), run, kinds)
 
 
 def _passages(aligned: DataFrame, min_chain: int, min_words: int, identity: float) -> DataFrame:

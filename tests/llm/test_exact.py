@@ -289,6 +289,29 @@ def test_a_clause_that_the_first_source_lacks(spark):
     assert cut[3] == own(3, 25) + own(13, 25) and cut[1] == texts[1]
 
 
+def test_fuzzy_passages_are_found(spark):
+    """Passages with changed words, and one whose end has no seed and lies further off than is looked at first."""
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    texts, kinds, n = {}, {}, 0
+    for words, every in ((60, 15), (60, 10), (80, 12), (80, 10), (55, 20)):
+        for _ in range(40):
+            passage = [word() for _ in range(words)]
+            changed = [word() if i % every == every // 2 else w for i, w in enumerate(passage)]
+            for i, p in ((n, passage), (1000 + n, changed)):
+                texts[i] = " ".join([*(word() for _ in range(30)), *p, *(word() for _ in range(30))])
+            kinds[1000 + n] = (words, every)
+            n += 1
+    passage = [word() for _ in range(200)]
+    changed = [word() if i > 20 and i % 6 == 0 else w for i, w in enumerate(passage)]
+    texts[900], texts[1900] = " ".join(passage), " ".join(changed)
+    df = spark.createDataFrame([(k, v) for k, v in texts.items()], "doc_id long, text string")
+    found = {r["doc_id"]: (r["passage_first"], r["passage_last"]) for r in substring_dedup.repeated_passages(df).collect()}
+    assert set(found) <= {*kinds, 1900} and found[1900][0] == 0 and found[1900][1] >= 197
+    share = {k: sum(i in found for i, own in kinds.items() if own == k) / 40 for k in set(kinds.values())}
+    assert min(share.values()) >= 0.9, share
+
+
 def test_hot_passage_over_many_ranges(spark):
     """One passage in every document: each refers to the first, in whatever range of seeds it lies."""
     p = " ".join(f"p{i}" for i in range(70))
