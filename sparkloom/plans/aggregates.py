@@ -263,13 +263,19 @@ def high_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT event_id, m.metric, m.v FROM (SELECT event_id, unnest([{'metric': 'value', 'v': value}, {'metric': 'k', 'v': CAST(json_extract_string(props, '$.k') AS DOUBLE)}]) AS m FROM events WHERE event_id < 1000) t""")
-def log_to_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+def log_to_metrics(spark: SparkSession, sf_dir: str, ids: str = "event_id < 1000") -> DataFrame:
     """One row for each measured field of a log row."""
-    rows = events(spark, sf_dir).where("event_id < 1000")
+    rows = events(spark, sf_dir).where(ids)
     fields = F.explode(F.array(F.struct(F.lit("value").alias("metric"), F.col("value").alias("v")), F.struct(F.lit("k").alias("metric"), F.get_json_object("props", "$.k").cast("double").alias("v"))))
     return rows.select("event_id", fields.alias("m")).select("event_id", "m.metric", "m.v")
 
 
+@query()
+def log_to_metrics_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log_to_metrics over every row."""
+    return log_to_metrics(spark, sf_dir, "true")
+
+
 @query("""SELECT event_type, count(*) AS exact FROM events GROUP BY 1""")
 def approximate_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts read back from a count-min sketch; at this width the estimates are exact."""

@@ -54,10 +54,16 @@ def profile_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT event_id, json_object('event', event_id, 'kind', event_type, 'user', user_id) AS canonical, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE event_id < 500""")
-def canonical_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+def canonical_json(spark: SparkSession, sf_dir: str, ids: str = "event_id < 500") -> DataFrame:
     """Keys in order, no spaces."""
     row = F.to_json(F.struct(F.col("event_id").alias("event"), F.col("event_type").alias("kind"), F.col("user_id").alias("user")))
-    return events(spark, sf_dir).where("event_id < 500").select("event_id", row.alias("canonical"), F.get_json_object("props", "$.k").cast("long").alias("k"))
+    return events(spark, sf_dir).where(ids).select("event_id", row.alias("canonical"), F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+@query()
+def canonical_json_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """canonical_json over every row."""
+    return canonical_json(spark, sf_dir, "true")
 
 
 @query("""WITH o AS (SELECT user_id, event_id, event_type, CAST(value AS VARCHAR) AS v, lag(event_type) OVER w AS pt, lag(CAST(value AS VARCHAR)) OVER w AS pv FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT event_id, CASE WHEN pt IS DISTINCT FROM event_type THEN 1 ELSE 0 END + CASE WHEN pv IS DISTINCT FROM v THEN 1 ELSE 0 END AS changed FROM o""")

@@ -86,19 +86,31 @@ def recovery_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH o AS (SELECT event_id, user_id, epoch_us(ts) / 1e6 - (user_id % 5) * 2 AS t FROM events WHERE event_id < 2000) SELECT event_id, row_number() OVER (PARTITION BY user_id % 20 ORDER BY t, event_id) AS place FROM o""")
-def clock_skew(spark: SparkSession, sf_dir: str) -> DataFrame:
+def clock_skew(spark: SparkSession, sf_dir: str, ids: str = "event_id < 2000") -> DataFrame:
     """Order after each service's known offset is taken off its times."""
-    rows = events(spark, sf_dir).where("event_id < 2000").select("event_id", "user_id", (seconds("ts") - (F.col("user_id") % 5) * 2).alias("t"))
+    rows = events(spark, sf_dir).where(ids).select("event_id", "user_id", (seconds("ts") - (F.col("user_id") % 5) * 2).alias("t"))
     w = Window.partitionBy(F.col("user_id") % 20).orderBy("t", "event_id")
     return rows.select("event_id", F.row_number().over(w).cast("long").alias("place"))
 
 
+@query()
+def clock_skew_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """clock_skew over every row."""
+    return clock_skew(spark, sf_dir, "true")
+
+
 @query("""SELECT event_id, list_filter([CASE WHEN NOT value < 90 THEN 'value' END, CASE WHEN NOT contains(props, '"k"') THEN 'props' END, CASE WHEN NOT user_id % 7 <> 0 THEN 'user' END], lambda x: x IS NOT NULL) AS broken FROM events WHERE event_id < 3000""")
-def record_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+def record_validation(spark: SparkSession, sf_dir: str, ids: str = "event_id < 3000") -> DataFrame:
     from sparkloom.operators import schemas
 
     rules = {"value": F.col("value") < 90, "props": F.contains("props", F.lit('"k"')), "user": F.col("user_id") % 7 != 0}
-    return events(spark, sf_dir).where("event_id < 3000").select("event_id", schemas.violations(rules).alias("broken"))
+    return events(spark, sf_dir).where(ids).select("event_id", schemas.violations(rules).alias("broken"))
+
+
+@query()
+def record_validation_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """record_validation over every row."""
+    return record_validation(spark, sf_dir, "true")
 
 
 @query("""SELECT user_id, hour(ts) AS hour, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) > 8""")
