@@ -149,23 +149,42 @@ def solve(patterns: dict[tuple[str | None, ...], int], weights: Sequence[int] =
 
 
 def nearest_fill(sizes: list[int], wanted: int, pool: int = 16) -> list[int]:
-    """1 for each size taken: in order, as long as they fit; then, of the `pool` sizes around that place, the
-    subset that comes nearest to `wanted`. Sizes of 0 are never taken."""
+    """1 for each size taken: in order, each that still fits, or all but those that fill the excess in the same way from the
+    end, whichever comes nearer to `wanted`. Sizes of 0 are never taken."""
     own = [i for i, n in enumerate(sizes) if n > 0]
-    upto = np.cumsum([0, *(sizes[i] for i in own)])
-    cut = int(np.searchsorted(upto, wanted, "right")) - 1
+    total = sum(sizes[i] for i in own)
+    taken = _fill(sizes, own, wanted, pool)
+    if sum(sizes[i] for i in taken) != wanted:
+        other = set(own) - _fill(sizes, own[::-1], total - wanted, pool)
+        taken = min(taken, other, key=lambda t: abs(wanted - sum(sizes[i] for i in t)))
+    return [int(i in taken) for i in range(len(sizes))]
+
+
+def _fill(sizes: list[int], own: list[int], wanted: int, pool: int) -> set[int]:
+    """In order, each that still fits; then `pool` sizes are decided anew, so that the sum comes nearest to `wanted`: those
+    around the first that didn't fit, or the last taken and the smallest left out."""
+    taken, left, cut = set(), wanted, None
+    for place, i in enumerate(own):
+        if sizes[i] <= left:
+            taken.add(i)
+            left -= sizes[i]
+        elif cut is None:
+            cut = place
+    if cut is None or not left:
+        return taken
     first = max(0, min(cut - pool // 2, len(own) - pool))
-    near = own[first : first + pool]
-    sums = np.zeros(1, np.int64)
-    for i in near:
-        sums = np.concatenate([sums, sums + sizes[i]])
-    best = int(np.abs(wanted - upto[first] - sums).argmin())
-    taken = [0] * len(sizes)
-    for i in own[:first]:
-        taken[i] = 1
-    for bit, i in enumerate(near):
-        taken[i] = best >> bit & 1
-    return taken
+    last = [i for i in own if i in taken][-pool // 2 :]
+    small = sorted((i for i in own if i not in taken), key=lambda i: (sizes[i], i))[: pool - len(last)]
+    best, chosen = abs(left), taken
+    for near in (own[first : first + pool], [*last, *small]):
+        sums = np.zeros(1, np.int64)
+        for i in near:
+            sums = np.concatenate([sums, sums + sizes[i]])
+        off = np.abs(left + sum(sizes[i] for i in near if i in taken) - sums)
+        if off.min() < best:
+            best, bits = int(off.min()), int(off.argmin())
+            chosen = (taken - set(near)) | {i for bit, i in enumerate(near) if bits >> bit & 1}
+    return chosen
 
 
 def mix(docs: DataFrame, members: Column, size: Column, weights: Sequence[int] = WEIGHTS, repeats: int = REPEATS, seed: int = 42, id_col: str = "doc_id") -> DataFrame:

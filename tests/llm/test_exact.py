@@ -475,3 +475,16 @@ def test_nearest_fill_comes_near():
         got = abs(wanted - sum(n for n, t in zip(sizes, taken, strict=True) if t))
         best = min(abs(wanted - sum(n for i, n in enumerate(sizes) if mask >> i & 1)) for mask in range(1 << len(sizes)))
         assert got <= best + 6 and all(n or not t for n, t in zip(sizes, taken, strict=True))
+
+
+def test_nearest_fill_goes_on_behind_a_long_document():
+    sizes = [100] * 1000
+    sizes[100] = 100_000
+    assert sum(n * t for n, t in zip(sizes, mixing.nearest_fill(sizes, 50_000), strict=True)) == 50_000
+    rng = random.Random(13)
+    for _ in range(200):
+        sizes = [rng.randint(20, 300) for _ in range(1000)]
+        for i in rng.sample(range(1000), 3):
+            sizes[i] = 20_000
+        wanted = rng.randint(10_000, sum(sizes))
+        assert abs(wanted - sum(n * t for n, t in zip(sizes, mixing.nearest_fill(sizes, wanted), strict=True))) <= 0.001 * wanted
