@@ -47,14 +47,14 @@ class FuzzyTrie:
 
     A position is (node, edits so far). One character takes a position along the equal edge, or for one edit
     more along any edge (substitution) or nowhere (an extra character); a missing character is an edge
-    without a character. The sets of positions are the states of an automaton whose transitions are made when
-    first needed and kept; most words reach the empty state after two or three characters. Terms of fewer than
+    without a character; with `first`, the first character may be edited too. The sets of positions are the states of an automaton whose transitions are made when
+    first needed and kept; most words reach the empty state after a few characters. Terms of fewer than
     `fuzzy_from` letters are matched exactly. A term that ends in * fits every word that begins with it.
     """
 
     MOST_STATES = 50_000
 
-    def __init__(self, terms: Iterable[str], edits: int = 1, fuzzy_from: int = 5):
+    def __init__(self, terms: Iterable[str], edits: int = 1, fuzzy_from: int = 5, first: bool = False):
         self.terms = sorted(set(terms))
         self.children: list[dict[str, int]] = [{}]
         self.ends: list[tuple[int, bool] | None] = [None]  # (term, open at its end)
@@ -73,7 +73,7 @@ class FuzzyTrie:
             if self.ends[node] is None or is_open:  # an open term covers the closed one
                 self.ends[node] = (number, is_open)
         self.length = [len(t.rstrip("*")) for t in self.terms]
-        self.edits, self.fuzzy_from = edits, fuzzy_from
+        self.edits, self.fuzzy_from, self.first = edits, fuzzy_from, first
         self._reset()
 
     def _reset(self) -> None:
@@ -87,7 +87,7 @@ class FuzzyTrie:
         todo = list(positions)
         while todo:  # a missing character
             node, e = todo.pop()
-            if e < self.edits and node and self.fuzzy[node]:  # never the first character
+            if e < self.edits and (node or self.first) and self.fuzzy[node]:
                 for child in self.children[node].values():
                     if self.fuzzy[child] and (child, e + 1) not in positions:
                         positions.add((child, e + 1))
@@ -113,7 +113,7 @@ class FuzzyTrie:
         for node, e in self.states[state]:
             if c in self.children[node]:
                 to.add((self.children[node][c], e))
-            if e < self.edits and self.fuzzy[node] and node:
+            if e < self.edits and (node or self.first) and self.fuzzy[node]:
                 to.add((node, e + 1))
                 to.update((child, e + 1) for child in self.children[node].values() if self.fuzzy[child])
         self.next[state][c] = found = self._state(to)
@@ -143,7 +143,7 @@ class Scanner:
     FEATURES = ("log_weight", "log_hits", "fuzzy", "quoted", "addressed", "kinds", "density", "strongest")
 
     def __init__(self, weights: dict[str, float]):
-        self.trie = FuzzyTrie(weights)
+        self.trie = FuzzyTrie(weights, first=True)
         self.weights = [weights[t] for t in self.trie.terms]
         self._known: dict[bytes, tuple[int, int] | None] = {}
         self._reporting, self._address = ({w.encode() for w in ws} for ws in (REPORTING, ADDRESS))

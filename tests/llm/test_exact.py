@@ -488,3 +488,21 @@ def test_nearest_fill_goes_on_behind_a_long_document():
             sizes[i] = 20_000
         wanted = rng.randint(10_000, sum(sizes))
         assert abs(wanted - sum(n * t for n, t in zip(sizes, mixing.nearest_fill(sizes, wanted), strict=True))) <= 0.001 * wanted
+
+
+def test_fuzzy_trie_edits_the_first_character():
+    rng = random.Random(14)
+    terms = ["moron", "idiot", "loser", "stupid", "abcab", "bcabc", "dog"]
+    trie = toxicity.Scanner(dict.fromkeys(terms, 1.0)).trie
+    for w in ("xdiot", "diot", "xidiot", toxicity.folded("*diot"), toxicity.folded("1oser")):
+        assert trie.match(w) is not None, w
+    for _ in range(3000):
+        w = list(rng.choice(terms))
+        for _ in range(rng.randint(0, 2)):
+            i = rng.choice([0, rng.randrange(len(w) + 1)])
+            w[i : i + rng.randint(0, 1)] = rng.choice(["", "x", "a"])
+        w = "".join(w)
+        want = min(((d, t) for t in terms if (d := levenshtein(w, t)) == 0 or (d == 1 and len(t) >= 5)), default=None)
+        got = trie.match(w)
+        assert (got and (got[0], trie.terms[got[1]])) == want, (w, want, got)
+    assert toxicity.Scanner({"idiot": 8.0}).features(b"you xdiot")[0] > 0
