@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import Columns, WordHashes, arrow_map, as_bytes, dropped, mix64, shingle_hashes, tune, words_of, written
@@ -14,19 +15,27 @@ from sparkloom.llm.components import components
 SHINGLE = 5
 #: Links have 100 * intersection >= SIMILARITY * union.
 SIMILARITY = 75
-#: A pair at the threshold shares no band with probability (1 - 0.75**ROWS)**BANDS, about 1 in 40,000.
-BANDS, ROWS = 28, 4
-#: Pairs that agree in fewer coordinates than this aren't checked. At the threshold 84 of 112 are expected with a
-#: deviation of 4.6, so this is 3.9 deviations away: about as few such pairs as share no band.
-LEAST_AGREEMENT = 66
-#: Pivots that a class is checked with first.
-FIRST = 3
-#: Members of a bucket that are compared in one block, and partners of one document that are checked in one task.
-BLOCK, PARTNERS = 512, 256
+#: A pair at the threshold shares no band with at most this probability.
+MISSED = 1 / 40_000
+#: Coordinates of a signature at most.
+COORDINATES = 128
+#: Members of a bucket in one block (and their shingles), each held in memory, and members that are streamed past them in one task.
+BLOCK, BLOCK_SHINGLES, STREAM = 512, 2_000_000, 8192
 
 _CHUNK = 1 << 16
 
 
+def banding(similarity: int = SIMILARITY) -> tuple[int, int]:
+    """(bands, rows a band) of the longest bands with which a pair at the threshold is missed with probability MISSED at
+    most, (1 - similarity ** rows) ** bands, in COORDINATES coordinates; 28 bands of 4 for 75."""
+    s = min(max(similarity, 1), 99) / 100
+    for rows in range(8, 0, -1):
+        bands = math.ceil(math.log(MISSED) / math.log1p(-(s**rows)))
+        if bands * rows <= COORDINATES or rows == 1:
+            return bands, rows
+    raise AssertionError
+
+
 def _permuted(x: np.ndarray, a: int, b: int) -> np.ndarray:
     """A permutation of the 32-bit integers: xor-shifts and odd factors are bijections."""
     x = x ^ (x >> np.uint32(16))
@@ -67,177 +76,231 @@ def _fingerprint(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes())
 
 
-def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(id, n, c, bands, marks, digest) of each row: the size of its shingle set, a 128-bit fingerprint of the set, a key for
-    each band, 32 bits of each key, and a byte of each coordinate. Without words n is 0 and the rest null. Maps partitions; no shuffle."""
+def row_keys(id_: Column, text: Column) -> tuple[Column, Column]:
+    """128 bits in two columns that tell rows with different ids or texts apart; never null."""
+    return F.xxhash64(id_, text), F.xxhash64(text, id_, F.lit(1))
+
+
+def _body(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    k1, k2 = row_keys(docs[id_col], as_bytes(text_col))
+    return docs.select(docs[id_col].alias("id"), k1.alias("k1"), k2.alias("k2"), as_bytes(text_col).alias("t"))
+
+
+def signatures(body: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
+    """(id, k1, k2, n, c, bands) of each row of body(id, k1, k2, t): the size of its shingle set, a 128-bit fingerprint of the
+    set, and a key for each band. Without words n is 0 and the rest null. Maps partitions; no shuffle."""
+    bands, rows = banding(similarity)
 
     def run(batches: Iterator[Columns]) -> Iterator[Columns]:
         hashes = WordHashes()
         for b in batches:
             sets = [shingle_set(hashes.of(words_of(t)), shingle) for t in b["t"]]
             full = [i for i, s in enumerate(sets) if len(s)]
-            out = {"id": b["id"], "n": [len(s) for s in sets]} | {c: [None] * len(sets) for c in ("c", "bands", "marks", "digest")}
+            out = {k: b[k] for k in ("id", "k1", "k2")} | {"n": [len(s) for s in sets], "c": [None] * len(sets), "bands": [None] * len(sets)}
             if full:
                 sig = circulant_signatures([sets[i] for i in full], bands * rows)
                 keys = np.arange(bands, dtype=np.uint64)[None, :] + np.zeros((len(full), 1), np.uint64)
                 for j in range(rows):
                     keys = mix64(keys * np.uint64(0x9E3779B97F4A7C15) + sig[:, j::rows])
-                keys, marks, digests = keys.astype(np.int64), keys.astype(np.uint32), sig.astype(np.uint8)
+                keys = keys.astype(np.int64)
                 for row, i in enumerate(full):
-                    out["c"][i], out["bands"][i], out["marks"][i], out["digest"][i] = _fingerprint(sets[i]), keys[row], marks[row].tobytes(), digests[row].tobytes()
+                    out["c"][i], out["bands"][i] = _fingerprint(sets[i]), keys[row]
             yield out
 
-    tune(docs.sparkSession)
-    kind = docs.schema[id_col].dataType.simpleString()
-    return arrow_map(docs.select(docs[id_col].alias("id"), as_bytes(text_col).alias("t")), run, f"id {kind}, n long, c binary, bands array<long>, marks binary, digest binary")
+    tune(body.sparkSession)
+    return arrow_map(body, run, f"id {body.schema['id'].dataType.simpleString()}, k1 long, k2 long, n long, c binary, bands array<long>")
 
 
-def _agreeing(pairs: DataFrame, classes: DataFrame, similarity: int) -> DataFrame:
-    """Of pairs(x, p), those whose sizes allow the similarity and whose digests agree enough."""
-    own = classes.select(F.col("c").alias("x"), F.col("n").alias("n_x"), F.col("digest").alias("d_x"))
-    other = classes.select(F.col("c").alias("p"), F.col("n").alias("n_p"), F.col("digest").alias("d_p"))
-    both = pairs.join(own, "x").join(other, "p")
-    both = both.where(F.least("n_x", "n_p") * 100 >= F.greatest("n_x", "n_p") * similarity)
+def _sets(body: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """(c, n, s): the shingle sets, as bytes, of the classes of wanted(c, k1, k2), read from one row of each. Repeated rows
+    with one id and text lie side by side behind the join and are read once."""
+    # a merge join at every size: wanted grows with the input, so no size should rely on a broadcast
+    texts = body.drop("id").join(wanted.hint("merge"), ["k1", "k2"]).select("c", "t")
 
     def run(batches: Iterator[Columns]) -> Iterator[Columns]:
+        hashes, before = WordHashes(), None
         for b in batches:
-            a, c = (np.frombuffer(b"".join(b[k]), np.uint8).reshape(len(b[k]), -1) for k in ("d_x", "d_p"))
-            good = np.flatnonzero((a == c).sum(1) >= LEAST_AGREEMENT)
-            yield {k: [b[k][i] for i in good] for k in ("x", "p")}
-
-    return arrow_map(both.select("x", "p", "d_x", "d_p"), run, "x binary, p binary")
+            out = {"c": [], "n": [], "s": []}
+            for c, t in zip(b["c"], b["t"], strict=True):
+                if c != before:
+                    s = shingle_set(hashes.of(words_of(t)), shingle)
+                    out["c"].append(c), out["n"].append(len(s)), out["s"].append(s.tobytes())
+                    before = c
+            yield out
 
+    return arrow_map(texts, run, "c binary, n long, s binary")
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int, similarity: int) -> DataFrame:
-    """Of pairs(x, p) of classes, those whose full shingle sets are similar.
 
-    The whole text of one document of each class goes to the groups of its partners p; a group is dealt out over a task
-    for every PARTNERS members, each with a copy of p, and is streamed: the set of p and one other are in memory.
-    """
-    spread = pairs.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).alias("tasks"))
-    placed = pairs.join(spread, "p").withColumn("task", F.pmod(F.xxhash64("x"), "tasks"))
-    members = placed.select("p", "task", F.lit(1).alias("role"), F.col("x").alias("c"))
-    heads = spread.select("p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1)).alias("task"), F.lit(0).alias("role"), F.col("p").alias("c"))
-    routes = written(members.union(heads).join(classes.select("c", "first"), "c"), "routes")
-    # a merge join at every size: routes grow with the input, so no size should rely on a broadcast
-    texts = docs.join(routes.hint("merge"), docs["id"].eqNullSafe(routes["first"])).select("p", "task", "role", "c", "t")
-    dealt = texts.repartition(F.col("p"), F.col("task")).sortWithinPartitions("p", "task", "role", "c")
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """Of pairs(x, p) of classes, those whose full shingle sets are similar; both sets are joined to a pair, so a task holds two."""
+    own = sets.select(F.col("c").alias("x"), F.col("n").alias("n_x"), F.col("s").alias("s_x"))
+    other = sets.select(F.col("c").alias("p"), F.col("n").alias("n_p"), F.col("s").alias("s_p"))
+    both = pairs.join(own.hint("merge"), "x").join(other.hint("merge"), "p")
+    both = both.where(F.least("n_x", "n_p") * 100 >= F.greatest("n_x", "n_p") * similarity)
 
     def run(batches: Iterator[Columns]) -> Iterator[Columns]:
-        hashes, key, head, before = WordHashes(), None, None, None
         for b in batches:
-            x, p = [], []
-            for own, task, role, c, text in zip(b["p"], b["task"], b["role"], b["c"], b["t"], strict=True):
-                if (own, task, c) == before:  # rows repeated under one id
-                    continue
-                s = shingle_set(hashes.of(words_of(text)), shingle)
-                if _fingerprint(s) != c:  # another text under the same id, or another row without an id
-                    continue
-                before = (own, task, c)
-                if role == 0:
-                    key, head = (own, task), s
-                elif key == (own, task):
-                    common = len(np.intersect1d(s, head, assume_unique=True))
-                    if 100 * common >= similarity * (len(s) + len(head) - common):
-                        x.append(c), p.append(own)
-            yield {"x": x, "p": p}
-
-    out = written(arrow_map(dealt, run, "x binary, p binary"), "verified")
-    dropped(routes)
-    return out
-
-
-def _crossing(buckets: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (x, p) that share a bucket and carry different labels, each once.
+            good = []
+            for i, (x, p) in enumerate(zip(b["s_x"], b["s_p"], strict=True)):
+                x, p = np.frombuffer(x, np.uint64), np.frombuffer(p, np.uint64)
+                common = len(np.intersect1d(x, p, assume_unique=True))
+                if 100 * common >= similarity * (len(x) + len(p) - common):
+                    good.append(i)
+            yield {k: [b[k][i] for i in good] for k in ("x", "p")}
 
-    A bucket whose members all have the pivot's label is finished. In others every member with another label
-    (left) is compared with all members, block by block; blocks hold BLOCK members and only pairs that agree leave them, from
-    the first band alone that they agree in.
+    return arrow_map(both.select("x", "p", "s_x", "s_p"), run, "x binary, p binary")
+
+
+class Block:
+    """Sets held in memory, with an index from elements to them; add() compares another set with all of them at once and
+    returns the links that unite what no link has united so far."""
+
+    def __init__(self, rows: list[tuple[bytes, bytes, bytes]], similarity: int):
+        self.similarity, self.classes = similarity, [c for c, _, _ in rows]
+        sets = [np.frombuffer(s, np.uint64) for _, _, s in rows]
+        self.sizes = np.array([len(s) for s in sets])
+        elements, owners = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(elements, kind="stable")
+        self.owners = owners[order]
+        self.elements, starts = np.unique(elements[order], return_index=True)
+        self.starts = np.append(starts, len(elements))
+        self.labels: dict[bytes, int] = {}
+        self.parents: list[int] = []
+        self.own = np.array([self._label(label) for _, label, _ in rows])
+        self.roots = self.own.copy()
+
+    def _label(self, label: bytes) -> int:
+        if label not in self.labels:
+            self.labels[label] = len(self.parents)
+            self.parents.append(len(self.parents))
+        return self.labels[label]
+
+    def _root(self, x: int) -> int:
+        while self.parents[x] != x:
+            self.parents[x] = self.parents[self.parents[x]]
+            x = self.parents[x]
+        return x
+
+    def add(self, c: bytes, label: bytes, s: bytes) -> list[tuple[bytes, bytes]]:
+        root = self._root(self._label(label))
+        if (self.roots == root).all():
+            return []
+        s = np.frombuffer(s, np.uint64)
+        at = np.searchsorted(self.elements, s)
+        at = at[at < len(self.elements)]
+        at = at[self.elements[at] == s[: len(at)]]
+        lengths = self.starts[at + 1] - self.starts[at]
+        flat = np.arange(lengths.sum()) + np.repeat(self.starts[at] - (lengths.cumsum() - lengths), lengths)
+        common = np.bincount(self.owners[flat], minlength=len(self.sizes))
+        found = []
+        for i in np.flatnonzero((100 * common >= self.similarity * (self.sizes + len(s) - common)) & (self.roots != root)):
+            other = self._root(int(self.own[i]))
+            if other != (root := self._root(root)):
+                self.parents[max(other, root)] = min(other, root)
+                self.roots[(self.roots == other) | (self.roots == root)] = root = min(other, root)
+                found.append((c, self.classes[i]))
+        return found
+
+
+def _crossing(buckets: DataFrame, labels: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """Links (x, p) of full sets between classes that share a bucket and carry different labels: enough of them that what
+    all links together unite is united.
+
+    A bucket whose members all have the pivot's label is finished, and so is one of two members: the pair has been checked. In
+    others the members with another label (left) are held block by block and all members are streamed past each block;
+    no pair leaves it, only the links that unite two labels, so a block returns fewer rows than it has members.
     """
-    named = buckets.join(labels, buckets["c"] == labels["node"], "left").select("key", "band", "p", "c", F.coalesce("label", "c").alias("label"))
+    named = buckets.join(labels, buckets["c"] == labels["node"], "left").select("key", "p", "c", "n", F.coalesce("label", "c").alias("label"))
     pivot = labels.select(F.col("node").alias("p"), F.col("label").alias("p_label"))
-    named = named.join(pivot, "p", "left").withColumn("left", F.col("label") != F.coalesce("p_label", "p"))
-    open_ = named.groupBy("key").agg(F.count_if("left").alias("lefts"), F.count(F.lit(1)).alias("n")).where("lefts > 0 AND n > 1")
-    open_ = written(open_.select("key", F.ceil(F.col("lefts") / BLOCK).alias("left_blocks"), F.ceil(F.col("n") / BLOCK).alias("blocks")), "open")
-    at_hand = named.join(open_, "key").join(classes.select("c", "n", F.concat("marks", "digest").alias("marks")), "c")
-    at_hand = at_hand.withColumns({"lb": F.pmod(F.xxhash64("c"), "left_blocks"), "b": F.pmod(F.xxhash64("c", F.lit(1)), "blocks")})
-    rights = at_hand.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("left_blocks") - 1)).alias("lb"), "b", F.lit(1).alias("role"), "band", "c", "label", "n", "marks")
-    lefts = at_hand.where("left").select("key", "lb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("b"), F.lit(0).alias("role"), "band", "c", "label", "n", "marks")
-    dealt = lefts.union(rights).repartition(F.col("key"), F.col("lb"), F.col("b")).sortWithinPartitions("key", "lb", "b", "role")
-
-    def matrix(rows: list[tuple]) -> tuple:
-        both = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1)
-        marks = np.ascontiguousarray(both[:, : 4 * BANDS]).view(np.uint32)
-        return [r[0] for r in rows], [r[1] for r in rows], np.array([r[2] for r in rows]), marks, both[:, 4 * BANDS :]
-
-    def compared(band: int, lefts: list[tuple], rights: list[tuple]) -> Columns:
-        x, p = [], []
-        if lefts and rights:
-            (lc, ll, ln, lm, ld), (rc, rl, rn, rm, rd) = matrix(lefts), matrix(rights)
-            for i in range(len(lc)):
-                fits = (np.minimum(rn, ln[i]) * 100 >= np.maximum(rn, ln[i]) * SIMILARITY) & ((rd == ld[i]).sum(1) >= LEAST_AGREEMENT)
-                fits &= (rm == lm[i]).argmax(1) == band
-                for j in np.flatnonzero(fits):
-                    if ll[i] != rl[j]:
-                        x.append(max(lc[i], rc[j])), p.append(min(lc[i], rc[j]))
-        return {"x": x, "p": p}
+    named = written(named.join(pivot, "p", "left").select("key", "c", "n", "label", (F.col("label") != F.coalesce("p_label", "p")).alias("left")), "named")
+    sums = named.groupBy("key").agg(F.count_if("left").alias("lefts"), F.sum(F.when(F.col("left"), F.col("n"))).alias("held"), F.count(F.lit(1)).alias("members"))
+    blocks = F.greatest(F.ceil(F.col("lefts") / BLOCK), F.ceil(F.col("held") / BLOCK_SHINGLES))
+    open_ = sums.where("lefts > 0 AND members > 2").select("key", blocks.alias("left_blocks"), F.ceil(F.col("members") / STREAM).alias("blocks"))
+    at_hand = named.join(open_, "key").withColumns({"lb": F.pmod(F.xxhash64("c"), "left_blocks"), "b": F.pmod(F.xxhash64("c", F.lit(1)), "blocks")})
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    rights = at_hand.select("key", each("left_blocks").alias("lb"), "b", F.lit(1).alias("role"), "c", "label")
+    lefts = at_hand.where("left").select("key", "lb", each("blocks").alias("b"), F.lit(0).alias("role"), "c", "label")
+    filled = lefts.union(rights).join(sets.select("c", "s").hint("merge"), "c")
+    dealt = filled.repartition(F.col("key"), F.col("lb"), F.col("b")).sortWithinPartitions("key", "lb", "b", "role")
 
     def run(batches: Iterator[Columns]) -> Iterator[Columns]:
-        key, sides = None, ([], [])
+        key, held, block = None, [], None
         for b in batches:
-            for k, lb, own, role, band, *row in zip(*(b[c] for c in ("key", "lb", "b", "role", "band", "c", "label", "n", "marks")), strict=True):
-                if (k, lb, own, band) != key:
-                    if key:
-                        yield compared(key[3], *sides)
-                    key, sides = (k, lb, own, band), ([], [])
-                sides[role].append(row)
-                if role and len(sides[1]) >= BLOCK:
-                    yield compared(band, *sides)
-                    sides[1].clear()
-        if key:
-            yield compared(key[3], *sides)
+            links = []
+            for k, lb, own, role, *row in zip(*(b[c] for c in ("key", "lb", "b", "role", "c", "label", "s")), strict=True):
+                if (k, lb, own) != key:
+                    key, held, block = (k, lb, own), [], None
+                if role == 0:
+                    held.append(row)
+                elif held:
+                    block = block or Block(held, similarity)
+                    links += block.add(*row)
+            yield {"x": [x for x, _ in links], "p": [p for _, p in links]}
+
+    out = written(arrow_map(dealt.select("key", "lb", "b", "role", "c", "label", "s"), run, "x binary, p binary"), "crossing")
+    dropped(named)
+    return out
 
-    return arrow_map(dealt, run, "x binary, p binary").distinct()  # two lefts of a bucket meet twice
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: int) -> tuple[DataFrame, DataFrame]:
+    """(id, k1, k2, n, c) of each row, and (c, component, k1, k2) of each class that has more than one row or a link: the
+    smallest id of its group, and the key of the group's first row."""
+    body = _body(docs, id_col, text_col)
+    rows = written(signatures(body, shingle, similarity), "signatures")
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "k1", "k2")).alias("first")
+    classes = written(rows.where("n > 0").groupBy("c").agg(first, F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")), "classes")
+    members = classes.select(F.explode("bands").alias("key"), "c", "n")
+    pivots = members.groupBy("key").agg(F.min("c").alias("p"), F.count(F.lit(1)).alias("m")).where("m > 1").select("key", "p")
+    buckets = written(members.join(pivots.hint("merge"), "key"), "buckets")
+    wanted = buckets.select("c").distinct().join(classes, "c").select("c", "first.k1", "first.k2")
+    sets = written(_sets(body, wanted, shingle), "sets")
+    # each class with the pivots of all its buckets, then every bucket that these links leave in parts
+    links = written(_similar(buckets.where("c != p").select(F.col("c").alias("x"), "p").distinct(), sets, similarity), "verified")
+    joined = components(links.select(F.col("x").alias("a"), F.col("p").alias("b"))).withColumnRenamed("root", "label")
+    more = _crossing(buckets, joined, sets, similarity)
+    # the links that are left to find join labels, not classes; the stars of the first pass stand for its links
+    stars = joined.select(F.col("node").alias("a"), F.col("label").alias("b"))
+    roots = components(stars.union(more.select("x", "p")))
+    linked = classes.join(roots, classes["c"] == roots["node"], "left").where("node is not null or copies > 1").select("c", "first", F.coalesce("root", "c").alias("root"))
+    smallest = linked.groupBy("root").agg(F.min("first").alias("smallest"))
+    named = written(linked.join(smallest, "root").select("c", F.col("smallest.id").alias("component"), "smallest.k1", "smallest.k2"), "groups")
+    for table in (classes, buckets, sets, links, joined, more, roots):
+        dropped(table)
+    return rows, named
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
     """Per row: id, n_shingles, component_id (the smallest id reachable by links), kept (id = component_id).
 
     Rows with equal shingle sets are one class; what follows works on classes, so copies cost a row each. The pivot of
-    a band bucket is its smallest member. Every class is checked exactly with the pivot that it shares most buckets with,
-    and joined to it if they are similar. A bucket whose members aren't all joined by that is then compared
-    block by block, so no pair that shares a bucket is left out unless it is joined already, and a large group of near
-    copies needs a number of checks in proportion to its size.
+    a band bucket is its smallest member. Every class is compared on full sets with the pivots of all its buckets. A bucket that
+    isn't joined by that is compared block by block, so no pair that shares a bucket is left out unless it is joined
+    already; what leaves a block are links in proportion to its members. Bands follow from the similarity.
 
     Rows without words have an empty set, n_shingles 0 and no link: component_id is their own id. Null ids are never the
     smallest; a component of null ids alone has a null component_id, and its rows are kept. Repeated rows are linked
-    like any copies and are all kept if their id is the component's. An empty table gives an empty result; other columns
-    are not read.
+    like any copies and are all kept if their id is the component's. Different texts under one id are rows of their own. An
+    empty table gives an empty result; other columns are not read.
     """
-    body = docs.select(docs[id_col].alias("id"), as_bytes(text_col).alias("t"))
-    rows = written(signatures(docs, id_col, text_col, shingle), "signatures")
-    full = rows.where("n > 0")
-    grouped = full.groupBy("c").agg(F.min("id").alias("first"), F.max("n").alias("n"), F.first("bands").alias("bands"), F.first("marks").alias("marks"), F.first("digest").alias("digest"))
-    classes = written(grouped, "classes")
-    members = classes.select(F.posexplode("bands").alias("band", "key"), "c")
-    pivots = written(members.groupBy("key").agg(F.min("c").alias("p"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "p"), "pivots")
-    buckets = written(members.join(pivots, "key"), "buckets")
-    # first each class with the pivots with which it shares most buckets
-    shared = buckets.where("c != p").groupBy(F.col("c").alias("x"), "p").agg(F.count(F.lit(1)).alias("n"))
-    rank = F.row_number().over(Window.partitionBy("x").orderBy(F.desc("n"), "p"))  # at most BANDS rows a class
-    best = shared.withColumn("rank", rank).where(F.col("rank") <= FIRST).select("x", "p")
-    stars = written(_agreeing(best, classes, similarity), "stars")
-    links = _verified(stars, body, classes, shingle, similarity)
-    joined = components(links.select(F.col("x").alias("a"), F.col("p").alias("b"))).withColumnRenamed("root", "label")
-    # then every pair that shares a bucket and isn't joined yet
-    more = written(_crossing(buckets, joined, classes), "crossing")
-    more_links = _verified(more, body, classes, shingle, similarity)
-    roots = components(links.union(more_links).select(F.col("x").alias("a"), F.col("p").alias("b")))
-    linked = classes.join(roots, classes["c"] == roots["node"], "left").select("c", "first", F.coalesce("root", "c").alias("root"))
-    smallest = linked.groupBy("root").agg(F.min("first").alias("smallest"))
-    named = written(linked.join(smallest, "root").select("c", F.col("smallest").alias("component")), "named")
-    for table in (classes, pivots, buckets, stars, links, joined, more, more_links, roots):
-        dropped(table)
-    out = rows.select("id", "n", "c").join(named, "c", "left")
-    component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    rows, groups = _grouped(docs, id_col, text_col, shingle, similarity)
+    # rows without words have no class; a class with a large share of all rows is split by AQE, as the join is an outer one with rows on the left
+    named = rows.where("n > 0").select("id", "n", "c").join(groups.select("c", "component").hint("merge"), "c", "left")
+    out = named.select("id", "n", F.coalesce("component", "id").alias("component")).union(rows.where("n = 0").select("id", "n", F.col("id").alias("component")))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
+    """docs with one row of each group of near-duplicates, that with the smallest id (of several, by a hash of the text);
+    columns stay as they are.
+
+    Rows are told apart by id and text, so of different texts under one id each stays or goes with its own group. Rows without words
+    are in no group and stay, but of rows repeated with one id and text one stays. A group of null ids alone keeps one of them.
+    """
+    rows, groups = _grouped(docs, id_col, text_col, shingle, similarity)
+    alone = rows.join(groups.select("c").hint("merge"), "c", "left_anti").select("k1", "k2")
+    kept = written(alone.union(groups.select("k1", "k2")).distinct(), "kept")
+    dropped(rows), dropped(groups)
+    k1, k2 = row_keys(docs[id_col], as_bytes(text_col))
+    keyed = docs.select(k1.alias("k1"), k2.alias("k2"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    stay = keyed.join(kept.hint("merge"), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
+    return stay.select(*(F.col(f"row.`{c}`") for c in docs.columns))
