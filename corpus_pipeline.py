@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sparkloom.llm import mixing, near_dedup, packing, quality, substring_dedup
 from sparkloom.llm.common import read, written
@@ -18,13 +17,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, that with the smallest id; of rows repeated under
-    its id with one text, one. Rows without an id stay only if their whole group has none."""
-    groups = near_dedup.near_duplicates(docs)
-    kept = written(groups.where("kept").select(F.col("doc_id").alias("_id")).distinct(), "kept")
-    rows = docs.select(docs["doc_id"].alias("id"), F.xxhash64(docs["text"]).alias("text"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
-    stay = rows.join(kept.hint("merge"), rows["id"].eqNullSafe(kept["_id"]), "left_semi").dropDuplicates(["id", "text"])
-    return stay.select(*(F.col(f"row.`{c}`") for c in docs.columns))
+    """One document of each group of near-duplicates stays, that with the smallest id. Rows are told apart by id and text; of
+    rows repeated with both, one stays. Rows without words stay; a group without ids keeps one of its rows."""
+    return near_dedup.one_of_each_group(docs)
 
 
 def chained_substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
