@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from sparkloom.llm.common import Columns, WordHashes, arrow_map, as_bytes, dropped, mix64, shingle_hashes, tune, words_of, written
 
@@ -15,8 +16,8 @@ from sparkloom.llm.common import Columns, WordHashes, arrow_map, as_bytes, dropp
 #: SEED + WINDOW - 1 = 11 words always shares a seed.
 SEED, WINDOW = 6, 6
 #: A chain may skip so many words in either text between two seeds; each skipped word costs GAP_COST of a matched one.
-#: Where every 20th word is changed, seeds that survive are some 40 words apart.
-MAX_GAP, GAP_COST = 96, 0.05
+#: Where every 10th word is changed, seeds that survive are some 20 words apart.
+MAX_GAP, GAP_COST = 48, 0.05
 #: A chain needs so many words in all; touching chains together make a passage of at least MIN_WORDS.
 MIN_CHAIN, MIN_WORDS = 16, 50
 #: Share of a chain's words that must match; a chain is cut where of the words between two seeds less than GAP_IDENTITY do.
@@ -25,13 +26,14 @@ IDENTITY, GAP_IDENTITY = 0.8, 0.6
 TOUCH = 4
 #: Slices of texts are asked for in multiples of so many words, so that many chains ask for the same ones.
 GRID = 32
-#: Words beyond a chain's ends that are looked at first; while the texts stay alike, GROW times as many.
-REACH, GROW = 24, 4
+#: Words beyond a chain's ends that are looked at. Words that are alike further out hold seeds, and these are in a chain of their
+#: own, with whatever source has them first; touching chains make one passage.
+REACH = 21
 
 
 def version(text: Column) -> Column:
     """Tells rows with one id and different texts apart."""
-    return F.pmod(F.xxhash64(text), F.lit(32749)).cast("int")
+    return F.xxhash64(text)
 
 
 def _extremes(x: np.ndarray, window: int, pick: np.ufunc) -> np.ndarray:
@@ -55,8 +57,19 @@ def minimizers(hashes: np.ndarray, window: int = WINDOW) -> np.ndarray:
     return np.flatnonzero(chosen)
 
 
+def occurrences(h: np.ndarray) -> np.ndarray:
+    """For each value, how many equal ones stand before it."""
+    order = np.argsort(h, kind="stable")
+    ordered = h[order]
+    starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(h) else np.zeros(0, np.int64)
+    out = np.empty(len(h), np.int32)
+    out[order] = np.arange(len(h)) - np.repeat(starts, np.diff(np.append(starts, len(h))))
+    return out
+
+
 def seeds(docs: DataFrame, seed: int = SEED, window: int = WINDOW) -> DataFrame:
-    """(h, doc, v, pos): the chosen k-mers of every text of docs(doc, v, t). Maps partitions."""
+    """(h, nth, doc, v, pos): the chosen k-mers of every text of docs(doc, v, t); nth counts a k-mer's occurrences in its text
+    from 0. Maps partitions."""
 
     def run(batches: Iterator[Columns]) -> Iterator[Columns]:
         known = WordHashes()
@@ -66,72 +79,93 @@ def seeds(docs: DataFrame, seed: int = SEED, window: int = WINDOW) -> DataFrame:
                 words = words_of(t)
                 h = mix64(shingle_hashes(known.of(words), seed)) if len(words) >= seed else np.zeros(0, np.uint64)
                 at = minimizers(h, window)
-                found.append((h[at].astype(np.int64), at.astype(np.int32)))
-            sizes = [len(h) for h, _ in found]
-            yield {"h": np.concatenate([h for h, _ in found]), "doc": np.repeat(np.array(b["doc"], np.int64), sizes), "v": np.repeat(np.array(b["v"], np.int32), sizes), "pos": np.concatenate([p for _, p in found])}
+                found.append((h[at].astype(np.int64), occurrences(h[at]), at.astype(np.int32)))
+            sizes = [len(h) for h, _, _ in found]
+            out = {k: np.concatenate([f[i] for f in found]) for i, k in enumerate(("h", "nth", "pos"))}
+            yield out | {"doc": np.repeat(np.array(b["doc"], np.int64), sizes), "v": np.repeat(np.array(b["v"], np.int64), sizes)}
+
+    return arrow_map(docs, run, "h long, nth int, doc long, v long, pos int")
 
-    return arrow_map(docs, run, "h long, doc long, v int, pos int")
+
+_PLACE = ("doc", "v", "pos")
 
 
 def anchors(seeded: DataFrame) -> DataFrame:
-    """(doc, v, pos, src, src_v, src_pos): each seed that an earlier document has, with its first place.
+    """(doc, v, pos, src, src_v, src_pos): each seed that an earlier document has, with a place of it there.
+
+    The nth occurrence in a text refers to the nth occurrence in the first document that has as many, so that texts of
+    repeated lines are collinear; where no earlier document has as many, to the very first place.
 
-    The seeds are dealt out in ranges of (h, doc, v, pos), so that one very frequent seed is spread over many tasks; in
-    each, the first row of a run of equal seeds is the place that the others refer to. A run that goes on from the
-    range before begins in another task: the first places of each range's first and last run (two rows a range) tell
-    where it really began, and are the only thing that goes to the driver and, with the next step, back.
+    The seeds are dealt out in ranges of (h, nth, doc, v, pos), so that one very frequent seed is spread over many tasks; in
+    each, the first row of a run of equal (h, nth) is the place that the others refer to. A run that goes on from the
+    range before begins in another task: the first places of each range's first and last run and of its last seed's
+    occurrences 0 (three rows a range) tell where it really began, and are the only thing that goes to the driver and, with the next
+    step, back. Repeated rows of one seed, which lie side by side, count once.
     """
-    dealt = seeded.repartitionByRange("h", "doc", "v", "pos").sortWithinPartitions("h", "doc", "v", "pos")
+    key = ("h", "nth", *_PLACE)
+    dealt = seeded.select(*key).repartitionByRange(*key).sortWithinPartitions(*key)
+    names = ("kind", *key, "src", "src_v", "src_pos")
 
     def run(batches: Iterator[Columns]) -> Iterator[Columns]:
-        names = ("h", "doc", "v", "pos")
-        first = last = None  # the beginnings of the first and of the latest run
-
-        def edge(row: tuple) -> Columns:
-            h, doc, v, pos = ([x] for x in row)
-            return {"kind": [2], "h": h, "doc": doc, "v": v, "pos": pos, "src": doc, "src_v": v, "src_pos": pos}
-
+        first = last = zero = before = None  # the range's first run, the latest one, the latest with nth 0, and the latest row
+        edges: dict[tuple, tuple] = {}
         for b in batches:
-            h, doc, v, pos = (b[c] for c in names)
-            starts = np.empty(len(h), bool)
-            starts[1:] = h[1:] != h[:-1]
-            starts[0] = last is None or last[0] != h[0]
-            begin = np.maximum.accumulate(np.where(starts, np.arange(len(h)), -1))
-            src, src_v, src_pos = doc[begin], v[begin], pos[begin]
-            if not starts[0]:
-                going = begin < 0
-                src, src_v, src_pos = (np.where(going, x, own) for x, own in zip(last[1:], (src, src_v, src_pos), strict=True))
+            h, nth, *place = (b[c] for c in key)
+            n = len(h)
+            new, again = np.empty(n, bool), np.zeros(n, bool)
+            new[1:] = (h[1:] != h[:-1]) | (nth[1:] != nth[:-1])
+            again[1:] = ~new[1:] & (place[0][1:] == place[0][:-1]) & (place[1][1:] == place[1][:-1]) & (place[2][1:] == place[2][:-1])
+            new[0] = last is None or last[:2] != (h[0], nth[0])
+            again[0] = before == (h[0], nth[0], *(x[0] for x in place))
             if first is None:
-                first = (h[0], doc[0], v[0], pos[0])
+                first = (h[0], nth[0], *(x[0] for x in place))
+                edges[first[:2]] = first[2:]
+            rows = np.arange(n)
+            begin = np.maximum.accumulate(np.where(new, rows, -1))
+            src = [np.where(begin < 0, 0 if last is None else last[2 + i], x[begin]) for i, x in enumerate(place)]
+            # a first run with nth 0 may have begun in the range before
+            nought = np.maximum.accumulate(np.where(new & (nth == 0) & (h != first[0]), rows, -1))
+            z_known = np.where(nought < 0, zero is not None and zero[0] == h, h[nought] == h)
+            z = [np.where(nought < 0, 0 if zero is None else zero[1 + i], x[nought]) for i, x in enumerate(place)]
+            back = (src[0] == place[0]) & (nth > 0)  # no earlier document has as many
+            src = [np.where(back & z_known, y, x) for x, y in zip(src, z, strict=True)]
+            open_ = (h == first[0]) & ((nth == first[1]) | (back & ~z_known))
+            keep = ~again & ((src[0] != place[0]) | open_)
+            yield {"kind": open_[keep].astype(np.int32)} | {c: x[keep] for c, x in zip(names[1:], (h, nth, *place, *src), strict=True)}
             if begin[-1] >= 0:
-                i = begin[-1]
-                last = (h[i], doc[i], v[i], pos[i])
-            keep = (src != doc) | ((h == first[0]) & ~((src == doc) & (src_v == v) & (src_pos == pos)))
-            yield {"kind": (h[keep] == first[0]).astype(np.int32), "h": h[keep], "doc": doc[keep], "v": v[keep], "pos": pos[keep], "src": src[keep], "src_v": src_v[keep], "src_pos": src_pos[keep]}
+                last = (h[begin[-1]], nth[begin[-1]], *(x[begin[-1]] for x in place))
+            if nought[-1] >= 0:
+                zero = (h[nought[-1]], *(x[nought[-1]] for x in place))
+            before = (h[-1], nth[-1], *(x[-1] for x in place))
         if first is not None:
-            yield edge(first)
-            if last != first:
-                yield edge(last)
+            edges.setdefault(last[:2], last[2:])
+            if zero is not None and zero[0] == last[0]:
+                edges.setdefault((zero[0], 0), zero[1:])
+            rows = [(2, *k, *x, *x) for k, x in edges.items()]
+            yield dict(zip(names, map(list, zip(*rows, strict=True)), strict=True))
 
     seeded.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
-    found = written(arrow_map(dealt, run, "kind int, h long, doc long, v int, pos int, src long, src_v int, src_pos int", arrays=True), "anchors")
+    found = written(arrow_map(dealt, run, "kind int, h long, nth int, doc long, v long, pos int, src long, src_v long, src_pos int", arrays=True), "anchors")
     tune(seeded.sparkSession)
-    edges = found.where("kind = 2").select("h", "doc", "v", "pos").distinct().orderBy("h", "doc", "v", "pos").collect()  # at most two a range
-    begun: dict[int, tuple] = {}
-    for h, *place in edges:
-        begun.setdefault(h, tuple(place))
-    keys = np.array(sorted(begun), np.int64)
-    places = np.array([begun[h] for h in keys.tolist()], np.int64).reshape(-1, 3)
+    ends = found.where("kind = 2").select(*key).distinct().orderBy(*key).collect()  # at most three a range
+    begun: dict[tuple, tuple] = {}
+    for h, nth, *place in ends:
+        begun.setdefault((h, nth), tuple(place))
 
     def resolve(batches: Iterator[Columns]) -> Iterator[Columns]:
         for b in batches:
-            src, src_v, src_pos = b["src"].copy(), b["src_v"].copy(), b["src_pos"].copy()
-            open_ = b["kind"] > 0
-            src[open_], src_v[open_], src_pos[open_] = places[np.searchsorted(keys, b["h"][open_])].T
-            keep = src != b["doc"]
-            yield {"doc": b["doc"][keep], "v": b["v"][keep], "pos": b["pos"][keep], "src": src[keep], "src_v": src_v[keep], "src_pos": src_pos[keep]}
+            src = [b[c].copy() for c in ("src", "src_v", "src_pos")]
+            open_ = np.flatnonzero(b["kind"] == 1)
+            h, nth, doc = b["h"][open_], b["nth"][open_], b["doc"][open_]
+            cuts = [0, *(np.flatnonzero((h[1:] != h[:-1]) | (nth[1:] != nth[:-1])) + 1), len(h)] if len(h) else []
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                own = begun.get((h[lo], nth[lo]), begun[h[lo], 0])
+                for i, (x, y) in enumerate(zip(own, begun.get((h[lo], 0), own), strict=True)):
+                    src[i][open_[lo:hi]] = np.where((doc[lo:hi] == own[0]) & (nth[lo] > 0), y, x)
+            keep = (src[0] != b["doc"]) & (b["kind"] < 2)
+            yield {c: x[keep] for c, x in zip((*_PLACE, "src", "src_v", "src_pos"), (*(b[c] for c in _PLACE), *src), strict=True)}
 
-    return arrow_map(found, resolve, "doc long, v int, pos int, src long, src_v int, src_pos int", arrays=True)
+    return arrow_map(found, resolve, "doc long, v long, pos int, src long, src_v long, src_pos int", arrays=True)
 
 
 class Fenwick:
@@ -192,7 +226,7 @@ def chains(pos: list[int], src: list[int], seed: int = SEED, max_gap: int = MAX_
 
 
 #: One row for each piece of a chain, numbered by seq: kind 0 words under seeds, 1 before them, 2 between seeds, 3 behind them.
-_PIECE = "doc long, v int, src long, src_v int, chain int, seq int, kind int, lo int, hi int, src_lo int, src_hi int, matched int"
+_PIECE = "doc long, v long, src long, src_v long, chain int, seq int, kind int, lo int, hi int, src_lo int, src_hi int, matched int"
 
 
 def _chain_rows(pos: list[int], src: list[int], seed: int, max_gap: int, reach: int) -> Iterator[list[tuple]]:
@@ -217,41 +251,52 @@ def _chain_rows(pos: list[int], src: list[int], seed: int, max_gap: int, reach:
         yield out
 
 
-def chain_pieces(found: DataFrame, seed: int = SEED, max_gap: int = MAX_GAP, reach: int = REACH) -> DataFrame:
+def zones(pos: np.ndarray, seed: int, max_gap: int, reach: int, min_words: int) -> np.ndarray:
+    """Of seeds' places (ascending), those that can be in a passage of min_words: seeds that no chain can link and whose reaches
+    don't touch part the text into zones, and a zone's seeds and what can be reached from them must be long enough."""
+    cut = np.flatnonzero(np.diff(pos) > seed + max(max_gap, 2 * reach + TOUCH)) + 1
+    starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(pos)]])
+    long = pos[ends - 1] + seed - pos[starts] + 2 * reach >= min_words
+    return np.repeat(long, ends - starts)
+
+
+def chain_pieces(found: DataFrame, seed: int = SEED, max_gap: int = MAX_GAP, reach: int = REACH, min_words: int = MIN_WORDS) -> DataFrame:
     """Chains of each document's anchors. They are grouped by the later document: an anchor for each of its
     seeds at most, so a group is bounded by one text however many copies there are.
 
-    Every chain goes on to alignment. Where a source lacks a word, the seeds over it have another source; those small chains lie
-    within the span of the large one, but only alignment tells whether that one really matches there.
+    Every chain that can be in a passage goes on to alignment. Where a source lacks a word, the seeds over it have another source;
+    those small chains lie within the span of the large one, but only alignment tells whether that one really matches there.
     """
-    dealt = found.repartition("doc", "v").sortWithinPartitions("doc", "v", "src", "src_v", "pos", "src_pos")
+    dealt = found.repartition("doc", "v").sortWithinPartitions("doc", "v", "pos")
     names = [c.split()[0] for c in _PIECE.split(", ")]
 
-    def run(batches: Iterator[Columns]) -> Iterator[Columns]:
-        key, number, pos, src = None, 0, [], []
-
-        def close() -> list[tuple]:
-            nonlocal number
-            out = []
-            for pieces in _chain_rows(pos, src, seed, max_gap, reach):
-                out += [(*key, number, i, *p) for i, p in enumerate(pieces)]
+    def close(key: tuple, rows: list[tuple]) -> list[tuple]:
+        out: list[tuple] = []
+        own: dict[tuple, list[tuple]] = {}
+        for fits, (pos, src, src_v, src_pos) in zip(zones(np.array([r[0] for r in rows]), seed, max_gap, reach, min_words), rows, strict=True):
+            if fits:
+                own.setdefault((src, src_v), []).append((pos, src_pos))
+        number = 0
+        for source in sorted(own):
+            for pieces in _chain_rows([p for p, _ in own[source]], [p for _, p in own[source]], seed, max_gap, reach):
+                out += [(*key, *source, number, i, *p) for i, p in enumerate(pieces)]
                 number += 1
-            return out
+        return out
 
+    def run(batches: Iterator[Columns]) -> Iterator[Columns]:
+        key, own = None, []
         for b in batches:
             rows = []
-            for *place, p, sp in zip(*(b[c] for c in ("doc", "v", "src", "src_v", "pos", "src_pos")), strict=True):
-                if place != key:
+            for doc, v, *row in zip(*(b[c] for c in ("doc", "v", "pos", "src", "src_v", "src_pos")), strict=True):
+                if (doc, v) != key:
                     if key:
-                        rows += close()
-                        if key[:2] != place[:2]:
-                            number = 0
-                    key, pos, src = place, [], []
-                pos.append(p), src.append(sp)
+                        rows += close(key, own)
+                    key, own = (doc, v), []
+                own.append(row)
             if rows:
                 yield dict(zip(names, zip(*rows, strict=True), strict=True))
-        if key:
-            yield dict(zip(names, zip(*close(), strict=True), strict=True))
+        if key and (rows := close(key, own)):
+            yield dict(zip(names, zip(*rows, strict=True), strict=True))
 
     return arrow_map(dealt, run, _PIECE)
 
@@ -277,100 +322,78 @@ def common_words(a: np.ndarray, b: np.ndarray, enough: float = 2.0) -> int:
 
 
 def extension(a: np.ndarray, b: np.ndarray, slack: int = 3) -> tuple[int, int, int]:
-    """How far two sequences that begin at the same place stay alike: (words of a, words of b, matched)."""
-    return _extension(a, b, slack)[0]
-
+    """How far two sequences that begin at the same place stay alike: (words of a, words of b, matched).
 
-def _extension(a: np.ndarray, b: np.ndarray, slack: int = 3) -> tuple[tuple[int, int, int], bool]:
-    """extension(), and whether it ended only as there were no more words.
-
-    Equal words are worth 1, a change, an extra or a missing word costs 1; the best end is taken, and the search
-    ends when no alignment is within `slack` of it.
+    Equal words are worth 1, a change, an extra or a missing word costs 1. Edit by edit, the words of a that can be reached on
+    each diagonal (off by `slack` at most) are carried on over equal words; the best end is taken, and the search
+    stops when nothing is within `slack` of it.
     """
-    n = 0
-    limit = min(len(a), len(b))
-    if limit:
-        differ = np.flatnonzero(a[:limit] != b[:limit])
-        n = int(differ[0]) if len(differ) else limit
-    best = (n, n, n)
-    if n == limit:
-        return best, True
-    # rows of a banded alignment from the first difference on: offset -> (score, matched)
-    row = {0: (0, 0)}
-    top = 0
-    for i in range(n, len(a) + 1):
+    a, b = a.tolist(), b.tolist()
+    n, m = len(a), len(b)
+
+    def slide(i: int, d: int) -> int:
+        while i < n and i + d < m and a[i] == b[i + d]:
+            i += 1
+        return i
+
+    i = slide(0, 0)
+    best, top, edits, reached = (i, i, i), i, 0, {0: (i, i)}  # of a diagonal: words of a, matched
+    while i < max(n, m):
+        edits += 1
         new: dict[int, tuple[int, int]] = {}
-        for off in range(-slack, slack + 1):
-            j = i + off
-            if not n <= j <= len(b):
-                continue
-            options = []
-            if i == n:
-                options.append((-(j - n), 0))
-            else:
-                if off in row and j > n:
-                    s, m = row[off]
-                    options.append((s + 1, m + 1) if a[i - 1] == b[j - 1] else (s - 1, m))
-                if off + 1 in row:
-                    options.append((row[off + 1][0] - 1, row[off + 1][1]))
-                if off - 1 in new:
-                    options.append((new[off - 1][0] - 1, new[off - 1][1]))
-            if options and max(options)[0] >= top - slack:
-                new[off] = max(options)
-                if new[off][0] > top:
-                    top, best = new[off][0], (i, j, n + new[off][1])
-        if not new:
-            return best, max(best[0] - len(a), best[1] - len(b)) >= -slack
-        row = new
-    return best, True
+        for d, (i, matched) in reached.items():
+            for to, at in ((d, i + 1), (d - 1, i + 1), (d + 1, i)):  # a changed word, one more in a, one more in b
+                if abs(to) <= slack and at <= n and 0 <= at + to <= m:
+                    end = slide(at, to)
+                    if (got := (end, matched + end - at)) > new.get(to, (-1, -1)):
+                        new[to] = got
+        for d, (i, matched) in new.items():
+            if matched - edits > top:
+                top, best = matched - edits, (i, i + d, matched)
+        reached = {d: x for d, x in new.items() if x[1] - edits >= top - slack}
+        if not reached:
+            break
+        i = min(x[0] for x in reached.values())
+    return best
 
 
 def align(pieces: DataFrame, docs: DataFrame) -> DataFrame:
     """The pieces with their matched words and with the ends of kinds 1 and 3 where the texts stop being alike. Words between two
     seeds of which too few match become an end (3) and a beginning (1).
 
-    Ends that are alike as far as was looked are looked at again, GROW times as far, until the texts differ or one is at its end.
-    """
-    pieces = pieces.withColumn("seq", (4 * F.col("seq")).cast("int"))
-    done, asked = pieces.where("kind = 0"), pieces.where("kind > 0")
-    while True:
-        aligned = written(_align(asked, docs), "aligned")
-        done = done.unionByName(aligned.where("more = 0").select(*done.columns))
-        asked = aligned.where("more = 1").drop("more")
-        if asked.isEmpty():
-            return done
-
-
-def _align(asked: DataFrame, docs: DataFrame) -> DataFrame:
-    """The asked pieces, aligned (more: 0), or to be looked at again with the words that then are wanted (more: 1).
-
     Only the words around the ends and between seeds are fetched, as 32-bit word hashes: distinct slices on a grid of GRID
     words are cut from the texts, joined to the pieces that need them from either side, and aligned.
     """
+    pieces = pieces.withColumn("seq", (4 * F.col("seq")).cast("int"))
+    asked = pieces.where("kind > 0")
     grid = lambda c, up: (F.floor((F.col(c) + (GRID - 1 if up else 0)) / GRID) * GRID).cast("int")
     asked = asked.withColumns({"g_lo": grid("lo", False), "g_hi": grid("hi", True), "s_lo": grid("src_lo", False), "s_hi": grid("src_hi", True)})
     own = asked.select("doc", "v", F.col("g_lo").alias("from"), F.col("g_hi").alias("to"))
     other = asked.select(F.col("src").alias("doc"), F.col("src_v").alias("v"), F.col("s_lo").alias("from"), F.col("s_hi").alias("to"))
-    wanted = own.union(other).distinct().withColumnsRenamed({"doc": "w_doc", "v": "w_v"})
-    texts = docs.join(wanted, (docs["doc"] == F.col("w_doc")) & (docs["v"] == F.col("w_v"))).select("doc", "v", "t", "from", "to")
+    # the slices of one text are as many as it has words at most
+    wanted = own.union(other).distinct().groupBy("doc", "v").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("spans"))
+    texts = docs.join(wanted.hint("merge"), ["doc", "v"]).select("doc", "v", "t", "spans")
 
     def cut(batches: Iterator[Columns]) -> Iterator[Columns]:
-        known, key, words = WordHashes(), None, None
+        known, before = WordHashes(), None
         for b in batches:
-            out = []
-            for doc, v, t, lo, hi in zip(b["doc"], b["v"], b["t"], b["from"], b["to"], strict=True):
-                if (doc, v) != key:
-                    key, words = (doc, v), known.of(words_of(t)).astype(np.uint32)
-                out.append(words[lo:hi].tobytes())
-            yield {k: b[k] for k in ("doc", "v", "from", "to")} | {"w": out}
-
-    slices = written(arrow_map(texts, cut, "doc long, v int, from int, to int, w binary").dropDuplicates(["doc", "v", "from", "to"]), "slices")
+            out: dict[str, list] = {k: [] for k in ("doc", "v", "from", "to", "w")}
+            for doc, v, t, spans in zip(b["doc"], b["v"], b["t"], b["spans"], strict=True):
+                if (doc, v) == before:  # rows repeated under one id lie side by side behind the join
+                    continue
+                before, words = (doc, v), known.of(words_of(t)).astype(np.uint32)
+                for span in spans:
+                    for k, x in zip(out, (doc, v, span["from"], span["to"], words[span["from"] : span["to"]].tobytes()), strict=True):
+                        out[k].append(x)
+            yield out
+
+    slices = written(arrow_map(texts, cut, "doc long, v long, from int, to int, w binary").dropDuplicates(["doc", "v", "from", "to"]), "slices")
     a = slices.select(F.col("doc").alias("a_doc"), F.col("v").alias("a_v"), F.col("from").alias("a_from"), F.col("to").alias("a_to"), F.col("w").alias("a_w"))
     b = slices.select(F.col("doc").alias("b_doc"), F.col("v").alias("b_v"), F.col("from").alias("b_from"), F.col("to").alias("b_to"), F.col("w").alias("b_w"))
     both = asked.join(a, (F.col("doc") == F.col("a_doc")) & (F.col("v") == F.col("a_v")) & (F.col("g_lo") == F.col("a_from")) & (F.col("g_hi") == F.col("a_to")))
     both = both.join(b, (F.col("src") == F.col("b_doc")) & (F.col("src_v") == F.col("b_v")) & (F.col("s_lo") == F.col("b_from")) & (F.col("s_hi") == F.col("b_to")))
     names = ("doc", "v", "src", "src_v", "chain", "seq", "kind", "lo", "hi", "src_lo", "src_hi")
-    kinds = _PIECE + ", more int"
+    columns = [k.split()[0] for k in _PIECE.split(", ")]
 
     def run(batches: Iterator[Columns]) -> Iterator[Columns]:
         for c in batches:
@@ -380,26 +403,19 @@ def _align(asked: DataFrame, docs: DataFrame) -> DataFrame:
                 if kind == 2:
                     matched = common_words(x, y, GAP_IDENTITY)
                     if matched >= GAP_IDENTITY * max(len(x), len(y)) or max(len(x), len(y)) <= TOUCH:
-                        out.append((*chain, seq, 2, lo, hi, s_lo, s_hi, matched, 0))
+                        out.append((*chain, seq, 2, lo, hi, s_lo, s_hi, matched))
                         continue
                 if kind != 1:
-                    (m, n, matched), open_ = _extension(x, y)
-                    if kind == 3 and open_ and len(x) == hi - lo and len(y) == s_hi - s_lo:
-                        far = GROW * (hi - lo)
-                        out.append((*chain, seq, 3, lo, lo + far, s_lo, s_lo + far, 0, 1))
-                    else:
-                        out.append((*chain, seq, 3, lo, lo + m, s_lo, s_lo + n, matched, 0))
+                    m, n, matched = extension(x, y)
+                    out.append((*chain, seq, 3, lo, lo + m, s_lo, s_lo + n, matched))
                 if kind != 3:
-                    (m, n, matched), open_ = _extension(x[::-1], y[::-1])
-                    if kind == 1 and open_ and lo and s_lo:
-                        far = GROW * (hi - lo)
-                        out.append((*chain, seq, 1, max(0, hi - far), hi, max(0, s_hi - far), s_hi, 0, 1))
-                    else:
-                        out.append((*chain, seq + (kind == 2), 1, hi - m, hi, s_hi - n, s_hi, matched, 0))
-            columns = [k.split()[0] for k in kinds.split(", ")]
+                    m, n, matched = extension(x[::-1], y[::-1])
+                    out.append((*chain, seq + (kind == 2), 1, hi - m, hi, s_hi - n, s_hi, matched))
             yield dict(zip(columns, zip(*out, strict=True), strict=True)) if out else dict.fromkeys(columns, [])
 
-    return arrow_map(both.select(*names, "g_lo", "s_lo", "a_w", "b_w"), run, kinds)
+    aligned = written(arrow_map(both.select(*names, "g_lo", "s_lo", "a_w", "b_w"), run, _PIECE), "aligned")
+    dropped(slices)
+    return pieces.where("kind = 0").unionByName(aligned)
 
 
 def _passages(aligned: DataFrame, min_chain: int, min_words: int, identity: float) -> DataFrame:
@@ -451,17 +467,20 @@ def _passages(aligned: DataFrame, min_chain: int, min_words: int, identity: floa
         if key and (done := runs(key, own + whole(chain))):
             yield dict(zip(names, zip(*done, strict=True), strict=True))
 
-    return arrow_map(dealt, run, "doc long, v int, lo int, hi int, src long, src_lo int, src_hi int, matched int, run_lo int, run_hi int, sources array<long>")
+    return arrow_map(dealt, run, "doc long, v long, lo int, hi int, src long, src_lo int, src_hi int, matched int, run_lo int, run_hi int, sources array<long>")
 
 
 def _found(docs: DataFrame, id_col: str, text_col: str, min_words: int, identity: float) -> DataFrame:
+    kind = docs.schema[id_col].dataType
+    if not isinstance(kind, IntegralType):
+        raise TypeError(f"{id_col} is {kind.simpleString()}: ids are whole numbers, as their order tells which document is the earlier one")
     tune(docs.sparkSession)
     text = as_bytes(text_col)
     body = docs.where(docs[id_col].isNotNull()).select(docs[id_col].cast("long").alias("doc"), version(text).alias("v"), text.alias("t"))
     seeded = written(seeds(body), "seeds")
     found = anchors(seeded)
     dropped(seeded)
-    pieces = written(chain_pieces(found), "pieces")
+    pieces = written(chain_pieces(found, min_words=min_words), "pieces")
     dropped(found)
     return _passages(align(pieces, body), MIN_CHAIN, min_words, identity)
 
@@ -474,10 +493,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     source_last, words, matched (equal words). Words are lower-cased runs of bytes other than ASCII white space; whole
     texts are read.
 
-    Every seed refers to its first place only, so a passage in n documents costs n references and no pair of
-    the later ones; each later document has a row for it. Rows without an id and texts with fewer words than a seed
-    give nothing; rows repeated under one id are one document and never repeat each other, different texts under one id are
-    handled apart; an empty table gives an empty result; other columns are not read.
+    Every seed refers to one earlier place only, so a passage in n documents costs n references and no pair of
+    the later ones; each later document has a row for it. Ids are whole numbers; others are a TypeError. Rows without an id and
+    texts with fewer words than a seed give nothing; rows repeated under one id are one document and never repeat each other,
+    different texts under one id are handled apart; an empty table gives an empty result; other columns are not read.
     """
     p = _found(docs, id_col, text_col, min_words, identity)
     kind = docs.schema[id_col].dataType
