@@ -41,11 +41,19 @@ def decode(encoded: DataFrame, by: str, order: str) -> DataFrame:
 
 
 def hash_chain(rows: DataFrame, by: str, order: str, body: str) -> DataFrame:
-    """rows with prev_hash and entry_hash = sha256(prev_hash + body): a fold over each key's ordered rows."""
-    chain = F.aggregate(F.sort_array(F.collect_list(F.struct(order, body))), F.array(F.lit(GENESIS)), lambda s, x: F.concat(s, F.array(F.sha2(F.concat(F.element_at(s, -1), x[body]).cast("binary"), 256))))
-    chains = rows.groupBy(by).agg(chain.alias("chain"))
-    numbered = rows.withColumn("_i", F.row_number().over(Window.partitionBy(by).orderBy(order)))
-    return numbered.join(chains, by).select(*rows.columns, F.element_at("chain", F.col("_i")).alias("prev_hash"), F.element_at("chain", F.col("_i") + 1).alias("entry_hash"))
+    """rows (by, order, body) with prev_hash and entry_hash = sha256(prev_hash + body): a fold over sorted rows, of which a task holds
+    one hash at a time."""
+    from sparkloom.operators import ordered
+
+    def step(last, row):  # noqa: ANN001, ANN202
+        import hashlib
+
+        entry = hashlib.sha256((last + row[body]).encode()).hexdigest()
+        return entry, (row[by], row[order], row[body], last, entry)
+
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in (by, order, body))
+    genesis = GENESIS
+    return ordered.folded(rows, [by], [order], lambda: genesis, step, f"{schema}, prev_hash string, entry_hash string", [body])
 
 
 def first_break(rows: DataFrame, by: str, order: str, body: str) -> DataFrame:

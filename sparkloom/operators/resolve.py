@@ -39,6 +39,19 @@ def not_repeated(df: DataFrame, keys: list[str], ts: str, within: float, *ties:
     return df.withColumn("_gap", gap).where(F.col("_gap").isNull() | (F.col("_gap") > within)).drop("_gap")
 
 
+def passes_ttl(rows: DataFrame, by: list[str], ts: str, order: list[str], ttl: int) -> DataFrame:
+    """rows (by, ts) with `passed`: whether a cache lets a row pass, that is the first of a key and each that comes `ttl` or more after
+    the last that passed. A fold over sorted rows; ts is a whole number."""
+    from sparkloom.operators import ordered
+
+    def step(last, row):  # noqa: ANN001, ANN202
+        passed = last is None or row[ts] - last >= ttl
+        return (row[ts] if passed else last), (*(row[c] for c in by), row[ts], passed)
+
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in (*by, ts))
+    return ordered.folded(rows, by, order, lambda: None, step, f"{schema}, passed boolean", [ts])
+
+
 def first_within_ttl(times: Column, ttl: float) -> Column:
     """Of a sorted array of times those that pass a cache: the first, then each that comes `ttl` or more after the last that passed."""
     start = F.array().cast("array<double>")

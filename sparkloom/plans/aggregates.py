@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkloom.functions import percentiles
-from sparkloom.operators import dialect, filters, mapreduce
+from sparkloom.operators import dialect, filters, mapreduce, ordered
 from sparkloom.operators import series as timeline
 from sparkloom.plans.registry import events, query, read, seconds
 
@@ -83,18 +82,23 @@ def facet_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT l_returnflag, l_linestatus, min(l_quantity) AS least, max(l_quantity) AS most, round(avg(l_extendedprice), 4) AS mean, round(quantile_cont(l_extendedprice, 0.95), 4) AS p95, round(quantile_cont(l_extendedprice, 0.99), 4) AS p99, count(*) AS n FROM lineitem GROUP BY 1, 2""")
 def percentiles_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = F.col("l_extendedprice")
-    return read(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.min("l_quantity").alias("least"), F.max("l_quantity").alias("most"), F.round(F.avg(v), 4).alias("mean"), F.round(percentiles.linear(v, 95), 4).alias("p95"), F.round(percentiles.linear(v, 99), 4).alias("p99"), F.count(F.lit(1)).alias("n"))
+    """Percentiles by counts of values and prefix sums: no task holds a group."""
+    by, rows = ["l_returnflag", "l_linestatus"], read(spark, sf_dir, "lineitem")
+    whole = rows.groupBy(*by).agg(F.min("l_quantity").alias("least"), F.max("l_quantity").alias("most"), F.round(F.avg("l_extendedprice"), 4).alias("mean"), F.count(F.lit(1)).alias("n"))
+    found = ordered.linear_percentiles(rows, by, "l_extendedprice", {"p95": 95, "p99": 99}).select(*by, F.round("p95", 4).alias("p95"), F.round("p99", 4).alias("p99"))
+    return whole.join(found, by, "left")
 
 
 @query("""SELECT event_type, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.5) AS p50 FROM events GROUP BY 1""")
 def percentiles_nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events(spark, sf_dir).groupBy("event_type").agg(percentiles.nearest_rank("value", 95).alias("p95"), percentiles.nearest_rank("value", 50).alias("p50"))
+    ranks = {"p95": lambda n: F.greatest(F.ceil(n * 95 / 100), F.lit(1)) - 1, "p50": lambda n: F.greatest(F.ceil(n * 50 / 100), F.lit(1)) - 1}
+    return ordered.values_at_ranks(events(spark, sf_dir), ["event_type"], "value", ranks).select("event_type", "p95", "p50")
 
 
 @query("""WITH l AS (SELECT user_id, list_sort(list(value)) AS v FROM events GROUP BY 1) SELECT user_id, v[least(CAST(floor(len(v) * 95 / 100) AS BIGINT) + 1, len(v))] AS p95_index, v[CAST(floor((len(v) - 1) * 95 / 100.0) AS BIGINT) + 1] AS p95_floor FROM l""")
 def percentiles_index_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events(spark, sf_dir).groupBy("user_id").agg(percentiles.index_rule(F.col("value"), 95).alias("p95_index"), percentiles.floor_rank(F.col("value"), 95).alias("p95_floor"))
+    ranks = {"p95_index": lambda n: F.least(F.floor(n * 95 / 100), n - 1), "p95_floor": lambda n: F.floor((n - 1) * 95 / 100)}
+    return ordered.values_at_ranks(events(spark, sf_dir), ["user_id"], "value", ranks).select("user_id", "p95_index", "p95_floor")
 
 
 @query("""WITH n AS (SELECT user_id, avg(value) AS a FROM events GROUP BY 1) SELECT round(avg(a), 6) AS mean_of_means, round(sum(a), 4) AS sum_of_means, count(*) AS nodes FROM n""")
@@ -159,20 +163,19 @@ def top_ten_per_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("rank", rank).where("rank <= 10").select("category", "value", "n")
 
 
-@query("""SELECT hour(h.t) AS hour, count(e.event_id) AS n, round(CASE WHEN count(e.event_id) > 0 THEN count(*) FILTER (WHERE e.event_type = 'error') / count(e.event_id) ELSE 0 END, 6) AS error_rate FROM (SELECT TIMESTAMP '2024-01-01' + to_hours(i) AS t FROM range(24) r(i)) h LEFT JOIN (SELECT * FROM events WHERE value > 99) e ON hour(e.ts) = hour(h.t) GROUP BY 1""")
+@query("""SELECT hour(h.t) AS hour, count(e.event_id) AS n, round(CASE WHEN count(e.event_id) > 0 THEN count(*) FILTER (WHERE e.event_type = 'error') / count(e.event_id) ELSE 0 END, 6) AS error_rate FROM (SELECT TIMESTAMP '2024-01-01' + to_hours(i) AS t FROM range(24) r(i)) h LEFT JOIN events e ON hour(e.ts) = hour(h.t) GROUP BY 1""")
 def hour_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """24 hours, those without events as 0."""
     n = F.count("event_id")
-    counted = events(spark, sf_dir).where("value > 99").groupBy(F.hour("ts").cast("long").alias("hour")).agg(n.alias("n"), F.round(F.count_if(F.col("event_type") == "error") / n, 6).alias("error_rate"))
+    counted = events(spark, sf_dir).groupBy(F.hour("ts").cast("long").alias("hour")).agg(n.alias("n"), F.round(F.count_if(F.col("event_type") == "error") / n, 6).alias("error_rate"))
     return spark.range(24).withColumnRenamed("id", "hour").join(F.broadcast(counted), "hour", "left").na.fill(0)
 
 
-@query("""WITH c AS (SELECT CAST(floor(epoch(ts) / 7200) AS BIGINT) AS b, count(*) AS n FROM events WHERE event_type = 'signup' GROUP BY 1), m AS (SELECT min(b) AS lo, max(b) AS hi, greatest(CAST(ceil((max(b) - min(b) + 1) / 50.0) AS BIGINT), 1) AS k FROM c),
+@query("""WITH c AS (SELECT CAST(floor(epoch(ts) / 7200) AS BIGINT) AS b, count(*) AS n FROM events GROUP BY 1), m AS (SELECT min(b) AS lo, max(b) AS hi, greatest(CAST(ceil((max(b) - min(b) + 1) / 50.0) AS BIGINT), 1) AS k FROM c),
     a AS (SELECT unnest(range(0, CAST(floor((hi - lo) / k) AS BIGINT) + 1)) AS i, lo, k FROM m), f AS (SELECT CAST(floor((b - lo) / k) AS BIGINT) AS i, sum(n) AS n FROM c, m GROUP BY 1)
     SELECT (lo + a.i * k) * 7200 AS bucket, CAST(coalesce(n, 0) AS BIGINT) AS n FROM a LEFT JOIN f USING (i)""")
 def folded_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    signups = events(spark, sf_dir).where(F.col("event_type") == "signup")
-    return timeline.histogram(signups, seconds("ts"), 7200, most=50)
+    return timeline.histogram(events(spark, sf_dir), seconds("ts"), 7200, most=50)
 
 
 @query("""SELECT props AS message, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1 ORDER BY n DESC, message LIMIT 5""")
@@ -244,10 +247,10 @@ def tier_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH c AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1) SELECT user_id, n, round(n / sum(n) OVER (), 6) AS share, n / sum(n) OVER () > 1.2 / count(*) OVER () AS skewed FROM c""")
 def load_skew(spark: SparkSession, sf_dir: str) -> DataFrame:
-    every = Window.partitionBy(F.lit(1))
     counted = events(spark, sf_dir).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    share = F.col("n") / F.sum("n").over(every)
-    return counted.select("user_id", "n", F.round(share, 6).alias("share"), (share > 1.2 / F.count(F.lit(1)).over(every)).alias("skewed"))
+    total = counted.agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("users"))  # one row
+    share = F.col("n") / F.col("total")
+    return counted.crossJoin(F.broadcast(total)).select("user_id", "n", F.round(share, 6).alias("share"), (share > 1.2 / F.col("users")).alias("skewed"))
 
 
 @query("""WITH a AS (SELECT date_trunc('day', ts) AS d, event_type, avg(value) AS a FROM events GROUP BY 1, 2) SELECT strftime(d, '%Y-%m-%d') AS day, CAST(greatest(0, 100 - sum(CASE WHEN a > 33 THEN 25 WHEN a > 28 THEN 10 ELSE 0 END)) AS BIGINT) AS health FROM a GROUP BY 1""")
@@ -262,20 +265,14 @@ def high_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).where("n > 1500")
 
 
-@query("""SELECT event_id, m.metric, m.v FROM (SELECT event_id, unnest([{'metric': 'value', 'v': value}, {'metric': 'k', 'v': CAST(json_extract_string(props, '$.k') AS DOUBLE)}]) AS m FROM events WHERE event_id < 1000) t""")
-def log_to_metrics(spark: SparkSession, sf_dir: str, ids: str = "event_id < 1000") -> DataFrame:
+@query("""SELECT event_id, m.metric, m.v FROM (SELECT event_id, unnest([{'metric': 'value', 'v': value}, {'metric': 'k', 'v': CAST(json_extract_string(props, '$.k') AS DOUBLE)}]) AS m FROM events) t""")
+def log_to_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each measured field of a log row."""
-    rows = events(spark, sf_dir).where(ids)
+    rows = events(spark, sf_dir)
     fields = F.explode(F.array(F.struct(F.lit("value").alias("metric"), F.col("value").alias("v")), F.struct(F.lit("k").alias("metric"), F.get_json_object("props", "$.k").cast("double").alias("v"))))
     return rows.select("event_id", fields.alias("m")).select("event_id", "m.metric", "m.v")
 
 
-@query()
-def log_to_metrics_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """log_to_metrics over every row."""
-    return log_to_metrics(spark, sf_dir, "true")
-
-
 @query("""SELECT event_type, count(*) AS exact FROM events GROUP BY 1""")
 def approximate_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts read back from a count-min sketch; at this width the estimates are exact."""

@@ -23,20 +23,14 @@ def latest_then_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest.groupBy(F.col("o_orderstatus").alias("status")).agg(F.count(F.lit(1)).alias("customers"))
 
 
-@query("""WITH k AS (SELECT DISTINCT c_custkey AS o_custkey FROM customer WHERE c_custkey < 100), r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) SELECT k.o_custkey, coalesce(string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY rn), '') AS orders FROM k LEFT JOIN r ON r.o_custkey = k.o_custkey AND rn <= 3 GROUP BY 1""")
-def rows_by_key(spark: SparkSession, sf_dir: str, ids: str = "c_custkey < 100") -> DataFrame:
+@query("""WITH k AS (SELECT DISTINCT c_custkey AS o_custkey FROM customer), r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) SELECT k.o_custkey, coalesce(string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY rn), '') AS orders FROM k LEFT JOIN r ON r.o_custkey = k.o_custkey AND rn <= 3 GROUP BY 1""")
+def rows_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One list for each requested key, at most three values, empty for a key without rows."""
-    keys = read(spark, sf_dir, "customer").where(ids).select(F.col("c_custkey").alias("o_custkey"))
+    keys = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"))
     lists = joins.grouped_by_key(keys, read(spark, sf_dir, "orders"), "o_custkey", F.col("o_orderkey").cast("string"), [F.desc("o_totalprice"), F.col("o_orderkey")], 3)
     return lists.select("o_custkey", F.array_join("values", ",").alias("orders"))
 
 
-@query()
-def rows_by_key_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """rows_by_key over every row."""
-    return rows_by_key(spark, sf_dir, "true")
-
-
 @query("""SELECT o_orderkey, c_name, n_name, r_name FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE o_totalprice > 480000""")
 def enriched_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts with their dimensions: which sides are broadcast is decided by their measured sizes."""
@@ -112,23 +106,17 @@ def timeline_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).select("event_id", F.lag("event_id", 1, -1).over(w).alias("previous"), F.lead("event_id", 1, -1).over(w).alias("next"), F.row_number().over(w).cast("long").alias("place"), F.round((t - F.first(t).over(w)) / 1e6, 3).alias("offset_s"))
 
 
-@query("""WITH u AS (SELECT 'event' AS kind, user_id AS k, strftime(ts, '%Y-%m-%d %H:%M:%S') AS moment, event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events WHERE user_id < 20 UNION ALL SELECT 'order', o_custkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S'), o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) FROM orders WHERE o_custkey < 20) SELECT k, kind, moment, id FROM u WHERE rn <= 3""")
-def correlated_streams(spark: SparkSession, sf_dir: str, ids: str = "{} < 20") -> DataFrame:
+@query("""WITH u AS (SELECT 'event' AS kind, user_id AS k, strftime(ts, '%Y-%m-%d %H:%M:%S') AS moment, event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events UNION ALL SELECT 'order', o_custkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S'), o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) FROM orders) SELECT k, kind, moment, id FROM u WHERE rn <= 3""")
+def correlated_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest three rows of each stream for each key, as one list."""
 
     def newest(df: DataFrame, kind: str, key: str, ts: str, id_: str) -> DataFrame:
         rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(ts), F.desc(id_)))
-        return df.where(ids.format(key)).withColumn("rn", rank).where("rn <= 3").select(F.col(key).alias("k"), F.lit(kind).alias("kind"), F.date_format(ts, "yyyy-MM-dd HH:mm:ss").alias("moment"), F.col(id_).alias("id"))
+        return df.withColumn("rn", rank).where("rn <= 3").select(F.col(key).alias("k"), F.lit(kind).alias("kind"), F.date_format(ts, "yyyy-MM-dd HH:mm:ss").alias("moment"), F.col(id_).alias("id"))
 
     return newest(events(spark, sf_dir), "event", "user_id", "ts", "event_id").unionByName(newest(read(spark, sf_dir, "orders"), "order", "o_custkey", "o_orderdate", "o_orderkey"))
 
 
-@query()
-def correlated_streams_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """correlated_streams over every row."""
-    return correlated_streams(spark, sf_dir, "true")
-
-
 @query("""SELECT user_id, count(DISTINCT event_type) AS sources, round(count(DISTINCT event_type) / 5.0, 6) AS strength, round(0.7 + 0.3 * count(DISTINCT event_type) / 5.0, 6) AS confidence FROM events GROUP BY 1 HAVING count(DISTINCT event_type) >= 2""")
 def session_key_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("sources")
@@ -192,12 +180,14 @@ def blast_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.reachable(_dependencies(spark, sf_dir)).groupBy("src").agg(F.count(F.lit(1)).alias("reach"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id % 25 AS node, count(*) AS w FROM events WHERE event_type = 'error' GROUP BY 1), b AS (SELECT node, w / CAST(sum(w) OVER () AS DOUBLE) AS base FROM e),
+    r(node, s, k) AS (SELECT node, 0.15 * base, 0 FROM b UNION ALL SELECT n.n_nationkey, r.s * 0.85, k + 1 FROM r JOIN nation n ON (n.n_nationkey * 7 + 1) % 25 = r.node AND n.n_nationkey <> r.node WHERE k < 170),
+    t AS (SELECT node, sum(s) AS s FROM r GROUP BY 1) SELECT CAST(n_nationkey AS BIGINT) AS node, round(coalesce(s, 0) / (SELECT sum(s) FROM t), 6) AS score FROM nation LEFT JOIN t ON t.node = n_nationkey""")
 def root_cause_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A random walk with restarts at the errors, against the direction of the calls."""
     errors = events(spark, sf_dir).where("event_type = 'error'").groupBy((F.col("user_id") % 25).alias("node")).agg(F.count(F.lit(1)).cast("double").alias("weight"))
     edges = _dependencies(spark, sf_dir).withColumn("weight", F.lit(1.0))
-    return stats.random_walk(edges, errors).select("node", F.round("score", 6).alias("score"))
+    return stats.random_walk(edges, errors, tolerance=1e-9, most_rounds=180, rounds_between=15).select("node", F.round("score", 6).alias("score"))
 
 
 @query("""SELECT user_id, event_type, count(*) AS n FROM events JOIN (SELECT user_id AS u, max(value) AS top FROM events GROUP BY 1) ON user_id = u AND value > top * 0.9 GROUP BY 1, 2""")

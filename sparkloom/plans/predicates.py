@@ -123,20 +123,14 @@ def first_seen_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
 
 
-@query("""SELECT 'order' AS kind, o_orderkey AS id, o_totalprice AS amount, CAST(NULL AS DOUBLE) AS tax FROM orders WHERE o_custkey < 50 UNION ALL SELECT 'line', l_orderkey, l_extendedprice, l_tax FROM lineitem WHERE l_suppkey = 7""")
-def union_of_formats(spark: SparkSession, sf_dir: str, orders_of: str = "o_custkey < 50", lines_of: str = "l_suppkey = 7") -> DataFrame:
+@query("""SELECT 'order' AS kind, o_orderkey AS id, o_totalprice AS amount, CAST(NULL AS DOUBLE) AS tax FROM orders UNION ALL SELECT 'line', l_orderkey, l_extendedprice, l_tax FROM lineitem""")
+def union_of_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of two shapes; what one lacks is null."""
-    orders = read(spark, sf_dir, "orders").where(orders_of).select(F.lit("order").alias("kind"), F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("amount"))
-    lines = read(spark, sf_dir, "lineitem").where(lines_of).select(F.lit("line").alias("kind"), F.col("l_orderkey").alias("id"), F.col("l_extendedprice").alias("amount"), F.col("l_tax").alias("tax"))
+    orders = read(spark, sf_dir, "orders").select(F.lit("order").alias("kind"), F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("amount"))
+    lines = read(spark, sf_dir, "lineitem").select(F.lit("line").alias("kind"), F.col("l_orderkey").alias("id"), F.col("l_extendedprice").alias("amount"), F.col("l_tax").alias("tax"))
     return orders.unionByName(lines, allowMissingColumns=True)
 
 
-@query()
-def union_of_formats_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """union_of_formats over every row."""
-    return union_of_formats(spark, sf_dir, "true", "true")
-
-
 @query("""SELECT event_id, CASE WHEN value >= 40 THEN 'ERROR' WHEN value >= 20 THEN 'WARN' ELSE 'INFO' END AS level, CASE WHEN value >= 40 THEN 3 WHEN value >= 20 THEN 4 ELSE 6 END AS severity FROM events WHERE value >= 20""")
 def severity_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A level from a measure, its syslog ordinal, and a filter by the ordinal."""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import scoring, text
+from sparkloom.operators.layout import ring_node, ring_points
 from sparkloom.plans.registry import events, query, read, seconds
 
 
@@ -53,17 +54,11 @@ def profile_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.groupBy("user_id").agg(to_map(None).alias("m")).crossJoin(F.broadcast(overall)).select("user_id", F.round(scoring.cosine(F.col("m"), F.col("all")), 6).alias("cosine"))
 
 
-@query("""SELECT event_id, json_object('event', event_id, 'kind', event_type, 'user', user_id) AS canonical, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE event_id < 500""")
-def canonical_json(spark: SparkSession, sf_dir: str, ids: str = "event_id < 500") -> DataFrame:
+@query("""SELECT event_id, json_object('event', event_id, 'kind', event_type, 'user', user_id) AS canonical, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events""")
+def canonical_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys in order, no spaces."""
     row = F.to_json(F.struct(F.col("event_id").alias("event"), F.col("event_type").alias("kind"), F.col("user_id").alias("user")))
-    return events(spark, sf_dir).where(ids).select("event_id", row.alias("canonical"), F.get_json_object("props", "$.k").cast("long").alias("k"))
-
-
-@query()
-def canonical_json_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """canonical_json over every row."""
-    return canonical_json(spark, sf_dir, "true")
+    return events(spark, sf_dir).select("event_id", row.alias("canonical"), F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
 @query("""WITH o AS (SELECT user_id, event_id, event_type, CAST(value AS VARCHAR) AS v, lag(event_type) OVER w AS pt, lag(CAST(value AS VARCHAR)) OVER w AS pv FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT event_id, CASE WHEN pt IS DISTINCT FROM event_type THEN 1 ELSE 0 END + CASE WHEN pv IS DISTINCT FROM v THEN 1 ELSE 0 END AS changed FROM o""")
@@ -85,13 +80,15 @@ def chained_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).groupBy("user_id").agg(F.md5(ordered.cast("binary")).alias("chain"))
 
 
-@query()
+@query("""SELECT user_id, min(event_id) AS broken FROM events WHERE event_id % 97 = 5 GROUP BY 1""")
 def hash_chain_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chains built over each user's rows and checked again: the first place that doesn't fit, of which there is none."""
+    """Chains built over each user's rows, some rows changed afterwards, and checked again: the first place that doesn't fit."""
     from sparkloom.operators import delta
 
     rows = events(spark, sf_dir).select("user_id", "event_id", F.concat_ws("|", F.col("event_id").cast("string"), "event_type", F.col("value").cast("string")).alias("body"))
-    return delta.first_break(delta.hash_chain(rows, "user_id", "event_id", "body"), "user_id", "event_id", "body")
+    chains = delta.hash_chain(rows, "user_id", "event_id", "body")
+    changed = chains.withColumn("body", F.when(F.col("event_id") % 97 == 5, F.concat("body", F.lit("!"))).otherwise(F.col("body")))
+    return delta.first_break(changed, "user_id", "event_id", "body")
 
 
 @query("""SELECT strftime(ts, '%Y%m%d_') || lpad(CAST(hour(ts) // 6 * 6 AS VARCHAR), 2, '0') AS bucket, count(*) AS n FROM events GROUP BY 1""")
@@ -100,11 +97,12 @@ def time_bucket_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+_RING = ", ".join(f"({p}, '{n}')" for p, n in ring_points([f"node{i}" for i in range(5)], 64))
+
+
+@query(f"""WITH r AS (SELECT * FROM (VALUES {_RING}) v(p, n)), k AS (SELECT c_custkey, CAST('0x' || substr(md5(c_name), 1, 8) AS BIGINT) AS h FROM customer) SELECT c_custkey, coalesce(r.n, (SELECT arg_min(n, p) FROM r)) AS node FROM k ASOF LEFT JOIN r ON k.h < r.p""")
 def consistent_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each customer's node: the first point of the ring after the key's hash. The ring is a sorted array expression."""
-    from sparkloom.operators.layout import ring_node
-
     return read(spark, sf_dir, "customer").select("c_custkey", ring_node(F.col("c_name"), [f"node{i}" for i in range(5)], 64).alias("node"))
 
 

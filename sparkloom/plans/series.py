@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkloom.operators import series, stats
+from sparkloom.operators import ordered, series, stats
 from sparkloom.plans.registry import events, query, seconds
 
 _DAILY = "WITH d AS (SELECT CAST(floor(epoch(ts) / 86400) AS BIGINT) AS day, count(*) AS n, avg(value) AS mean, count(*) FILTER (WHERE event_type = 'error') AS errors FROM events GROUP BY 1)"
@@ -24,8 +24,11 @@ def rolling_z_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT event_id, round((value - avg(value) OVER w) / stddev_pop(value) OVER w, 4) AS z FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING) QUALIFY count(value) OVER w >= 2 AND stddev_pop(value) OVER w > 1e-9 AND abs((value - avg(value) OVER w) / stddev_pop(value) OVER w) > 2.5""")
 def rolling_z_population(spark: SparkSession, sf_dir: str) -> DataFrame:
-    z = series.rolling_z("value", "event_type", "ts", "event_id", window=50, population=True)
-    return events(spark, sf_dir).withColumn("z", z).where(F.abs("z") > 2.5).select("event_id", F.round("z", 4).alias("z"))
+    """A few keys for all rows: windows over chunks of a key's rows, each behind copies of the 50 before it."""
+    rows = events(spark, sf_dir).select("event_type", "ts", "event_id", "value")
+    chunked = ordered.rolling_chunks(rows, ["event_type"], F.floor(seconds("ts") / 3600), ["ts", "event_id"], 50).withColumn("key", F.struct("event_type", "chunk"))
+    z = series.rolling_z("value", "key", "ts", "event_id", window=50, population=True)
+    return chunked.withColumn("z", z).where(F.col("real") & (F.abs("z") > 2.5)).select("event_id", F.round("z", 4).alias("z"))
 
 
 @query("""SELECT user_id, round(regr_slope(value, epoch_us(ts) / 1e6 / 86400), 6) AS slope, round(regr_r2(value, epoch_us(ts) / 1e6 / 86400), 6) AS r2 FROM events GROUP BY 1""")
@@ -67,8 +70,8 @@ def seasonal_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH RECURSIVE o AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events), r AS (SELECT user_id, i, value AS s FROM o WHERE i = 1 UNION ALL SELECT o.user_id, o.i, r.s * 0.7 + o.value * 0.3 FROM r JOIN o ON o.user_id = r.user_id AND o.i = r.i + 1) SELECT user_id, round(arg_max(s, i), 6) AS ewma FROM r GROUP BY 1""")
 def ewma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("ts", "event_id", "value"))), lambda x: x["value"])
-    return events(spark, sf_dir).groupBy("user_id").agg(ordered.alias("v")).select("user_id", F.round(series.smoothed(F.col("v"), 0.3), 6).alias("ewma"))
+    """In closed form over the last rows of a key."""
+    return ordered.weighted(events(spark, sf_dir).select("user_id", "ts", "event_id", "value"), ["user_id"], ["ts", "event_id"], "value", 0.3).select("user_id", F.round("smoothed", 6).alias("ewma"))
 
 
 @query("""WITH RECURSIVE c AS (SELECT event_type, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS day, CAST(count(*) AS DOUBLE) AS n FROM events GROUP BY 1, 2), o AS (SELECT event_type, n, row_number() OVER (PARTITION BY event_type ORDER BY day) AS i FROM c),
@@ -147,11 +150,10 @@ def sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).groupBy(start.alias("window_start")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"))
 
 
-@query("""SELECT user_id, string_agg(g, ' ' ORDER BY i) AS grams FROM (SELECT user_id, i, t || '>' || lead(t, 1) OVER w || '>' || lead(t, 2) OVER w AS g FROM (SELECT user_id, event_type AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE value > 60) WINDOW w AS (PARTITION BY user_id ORDER BY i)) WHERE g IS NOT NULL GROUP BY 1""")
+@query("""SELECT event_id, g FROM (SELECT event_id, event_type || '>' || lead(event_type, 1) OVER w || '>' || lead(event_type, 2) OVER w AS g FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE g IS NOT NULL""")
 def ordered_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = events(spark, sf_dir).where("value > 60").select("user_id", "ts", "event_id", F.concat("event_type", F.lit(">"), F.lead("event_type", 1).over(w), F.lit(">"), F.lead("event_type", 2).over(w)).alias("g")).where("g is not null")
-    return rows.groupBy("user_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ts", "event_id", "g"))), lambda x: x["g"]), " ").alias("grams"))
+    return events(spark, sf_dir).select("event_id", F.concat("event_type", F.lit(">"), F.lead("event_type", 1).over(w), F.lit(">"), F.lead("event_type", 2).over(w)).alias("g")).where("g is not null")
 
 
 @query("""WITH g AS (SELECT user_id, event_type || '>' || lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM events), m AS (SELECT g, count(*) AS n FROM g WHERE g IS NOT NULL GROUP BY 1), s AS (SELECT sum(n) AS t FROM m) SELECT user_id, round(avg(CASE WHEN n / t < 0.035 THEN 1.0 ELSE 0.0 END), 6) AS rarity FROM g JOIN m USING (g), s GROUP BY 1""")

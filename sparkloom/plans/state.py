@@ -16,11 +16,14 @@ def time_window_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.not_repeated(rows, ["user_id", "event_type"], "t", 7200.0, "event_id").select("event_id")
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT user_id, event_type, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS i FROM events),
+    r AS (SELECT user_id, event_type, i, t AS kept, 1 AS passed FROM o WHERE i = 1 UNION ALL SELECT o.user_id, o.event_type, o.i, CASE WHEN o.t - r.kept >= 21600000000 THEN o.t ELSE r.kept END, CASE WHEN o.t - r.kept >= 21600000000 THEN r.passed + 1 ELSE r.passed END FROM r JOIN o ON o.user_id = r.user_id AND o.event_type = r.event_type AND o.i = r.i + 1)
+    SELECT user_id, event_type, CAST(max(passed) AS BIGINT) AS passed, max(i) AS n FROM r GROUP BY 1, 2""")
 def ttl_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a cache with a lifetime of six hours lets pass, for each user and type."""
-    rows = events(spark, sf_dir).groupBy("user_id", "event_type").agg(F.sort_array(F.collect_list(seconds("ts"))).alias("times"))
-    return rows.select("user_id", "event_type", F.size(resolve.first_within_ttl(F.col("times"), 21_600.0)).alias("passed"), F.size("times").alias("n"))
+    rows = events(spark, sf_dir).select("user_id", "event_type", "ts", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    marked = resolve.passes_ttl(rows, ["user_id", "event_type"], "t", ["ts", "event_id"], 21_600_000_000)
+    return marked.groupBy("user_id", "event_type").agg(F.count_if("passed").alias("passed"), F.count(F.lit(1)).alias("n"))
 
 
 @query("""WITH a AS (SELECT o_orderkey AS k, o_totalprice AS v FROM orders WHERE o_orderkey % 10 <> 3), b AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 50 = 7 THEN o_totalprice + 1 ELSE o_totalprice END AS v FROM orders WHERE o_orderkey % 10 <> 4) SELECT coalesce(a.k, b.k) AS k, a.v AS a, b.v AS b FROM a FULL JOIN b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL OR a.v <> b.v""")
@@ -85,32 +88,20 @@ def recovery_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reach.where("src = 3").select(F.col("dst").alias("service")).join(counts, "service").orderBy(F.desc("downstream"), "service").limit(5)
 
 
-@query("""WITH o AS (SELECT event_id, user_id, epoch_us(ts) / 1e6 - (user_id % 5) * 2 AS t FROM events WHERE event_id < 2000) SELECT event_id, row_number() OVER (PARTITION BY user_id % 20 ORDER BY t, event_id) AS place FROM o""")
-def clock_skew(spark: SparkSession, sf_dir: str, ids: str = "event_id < 2000") -> DataFrame:
+@query("""WITH o AS (SELECT event_id, user_id, epoch_us(ts) / 1e6 - (user_id % 5) * 2 AS t FROM events) SELECT event_id, row_number() OVER (PARTITION BY user_id % 20 ORDER BY t, event_id) AS place FROM o""")
+def clock_skew(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order after each service's known offset is taken off its times."""
-    rows = events(spark, sf_dir).where(ids).select("event_id", "user_id", (seconds("ts") - (F.col("user_id") % 5) * 2).alias("t"))
+    rows = events(spark, sf_dir).select("event_id", "user_id", (seconds("ts") - (F.col("user_id") % 5) * 2).alias("t"))
     w = Window.partitionBy(F.col("user_id") % 20).orderBy("t", "event_id")
     return rows.select("event_id", F.row_number().over(w).cast("long").alias("place"))
 
 
-@query()
-def clock_skew_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """clock_skew over every row."""
-    return clock_skew(spark, sf_dir, "true")
-
-
-@query("""SELECT event_id, list_filter([CASE WHEN NOT value < 90 THEN 'value' END, CASE WHEN NOT contains(props, '"k"') THEN 'props' END, CASE WHEN NOT user_id % 7 <> 0 THEN 'user' END], lambda x: x IS NOT NULL) AS broken FROM events WHERE event_id < 3000""")
-def record_validation(spark: SparkSession, sf_dir: str, ids: str = "event_id < 3000") -> DataFrame:
+@query("""SELECT event_id, list_filter([CASE WHEN NOT value < 90 THEN 'value' END, CASE WHEN NOT contains(props, '"k"') THEN 'props' END, CASE WHEN NOT user_id % 7 <> 0 THEN 'user' END], lambda x: x IS NOT NULL) AS broken FROM events""")
+def record_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkloom.operators import schemas
 
     rules = {"value": F.col("value") < 90, "props": F.contains("props", F.lit('"k"')), "user": F.col("user_id") % 7 != 0}
-    return events(spark, sf_dir).where(ids).select("event_id", schemas.violations(rules).alias("broken"))
-
-
-@query()
-def record_validation_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """record_validation over every row."""
-    return record_validation(spark, sf_dir, "true")
+    return events(spark, sf_dir).select("event_id", schemas.violations(rules).alias("broken"))
 
 
 @query("""SELECT user_id, hour(ts) AS hour, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) > 8""")

@@ -157,7 +157,9 @@ def format_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).select(lines.detect(line)["format"].alias("format")).groupBy("format").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query("""WITH v AS (SELECT vec_id, label, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings), n AS (SELECT * FROM v ORDER BY vec_id DESC LIMIT 20),
+    s AS (SELECT n.vec_id AS query, v.vec_id AS id, round(list_dot_product(v.e, n.e) / (sqrt(list_dot_product(v.e, v.e)) * sqrt(list_dot_product(n.e, n.e))), 6) AS cosine, v.label = n.label AS same FROM v JOIN n ON v.vec_id <> n.vec_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, id) AS rank FROM s) SELECT query, id, cosine, same, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""")
 def similar_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest earlier vectors by cosine for the newest ones, with the label's blend."""
     return search.similar(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label", newest=20, k=5)

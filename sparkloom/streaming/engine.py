@@ -12,6 +12,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share; one of our own only where the session names none."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         import tempfile
 
         where = tempfile.mkdtemp(prefix="sparkloom-")

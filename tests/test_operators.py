@@ -182,3 +182,18 @@ def test_alert_cooldown():
 def test_canonical_rows(spark):
     got = spark.range(1).select(F.to_json(F.struct(F.lit(1).alias("a"), F.lit("x").alias("b")))).first()[0]
     assert got == json.dumps({"a": 1, "b": "x"}, separators=(",", ":"))
+
+
+def test_sessions_of_idle_users_come_out(spark, tmp_path):
+    """The watermark that another user's rows move closes the last session of one who is idle."""
+    import time
+
+    from sparkloom.streaming import stateful
+
+    schema = "user_id long, event_id long, ts timestamp, event_type string"
+    for i, rows in enumerate(([(1, 1, "2024-01-01 00:00:00", "view"), (1, 2, "2024-01-01 00:05:00", "click")], [(2, 3, "2024-01-02 00:00:00", "view")], [(2, 4, "2024-01-03 00:00:00", "view")])):
+        spark.createDataFrame(rows, "user_id long, event_id long, ts string, event_type string").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(str(tmp_path / "rows"))
+        time.sleep(1.1)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "rows")).withWatermark("ts", "1 hour")
+    got = stateful.hybrid_sessions(stream, timeout=1800.0, longest=14_400.0, closing=("purchase",), merge_within=300.0, similar=0.7).collect()
+    assert sorted((r["user_id"], r["session"], r["n"], r["kinds"]) for r in got) == [(1, 1, 2, "click=1,view=1")]

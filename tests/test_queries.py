@@ -2,7 +2,6 @@
 
 import math
 import os
-import re
 
 import duckdb
 import pytest
@@ -41,18 +40,3 @@ def test_query(spark, small, oracle, name):
     assert sorted(names) == columns
     at = [names.index(c) for c in columns]
     assert sorted(rows) == sorted(tuple(plain(r[i]) for i in at) for r in result.fetchall())
-
-
-OF_SUBSETS = ("delta_round_trip", "log_to_metrics", "clock_skew", "record_validation", "canonical_json", "correlated_streams", "rows_by_key", "union_of_formats")
-
-
-@pytest.mark.parametrize("name", OF_SUBSETS)
-def test_whole_tables(spark, small, oracle, name):
-    """The queries over every row, against the SQL without its filter of ids."""
-    sql = re.sub(r" WHERE (event_id|user_id|o_custkey|c_custkey) < \d+| WHERE l_suppkey = 7", "", registry.oracle_sql()[name])
-    df = registry.queries()[f"{name}_whole"](spark, small)
-    columns = sorted(df.columns)
-    result = oracle.execute(sql)
-    at = [[d[0] for d in result.description].index(c) for c in columns]
-    want = sorted(tuple(plain(r[i]) for i in at) for r in result.fetchall())
-    assert sorted(tuple(plain(r[c]) for c in columns) for r in df.collect()) == want
