@@ -51,4 +51,4 @@ def oracle_sql() -> dict[str, str]:
 
 def _load() -> None:
     """Import the modules that register queries."""
-    from sparkloom.plans import aggregates, detection, joins, paging, predicates, scalars, series, shapes, state, storage, streams, text, vocabulary  # noqa: F401
+    from sparkloom.plans import aggregates, detection, feeds, joins, paging, predicates, scalars, series, shapes, state, storage, streams, text, vocabulary  # noqa: F401
