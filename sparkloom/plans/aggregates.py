@@ -206,9 +206,9 @@ def weekday_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bursts.withColumn("run", run).groupBy("weekday", "event_type", "run").agg(F.min("hour").alias("first_hour"), F.max("hour").alias("last_hour"), F.sum("n").alias("n")).drop("run")
 
 
-@query("""SELECT w AS word, count(*) AS n FROM (SELECT unnest(string_split_regex(lower(text), '\\s+')) AS raw FROM benchmark), LATERAL (SELECT regexp_replace(raw, '[^a-z]', '', 'g') AS w) WHERE length(w) > 2 GROUP BY 1""")
+@query("""SELECT w AS word, count(*) AS n FROM (SELECT unnest(string_split_regex(lower(text), '\\s+')) AS raw FROM documents), LATERAL (SELECT regexp_replace(raw, '[^a-z]', '', 'g') AS w) WHERE length(w) > 2 GROUP BY 1""")
 def word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = read(spark, sf_dir, "benchmark").select(F.explode(F.split(F.lower("text"), r"\s+")).alias("raw")).select(F.regexp_replace("raw", "[^a-z]", "").alias("word"))
+    words = read(spark, sf_dir, "documents").select(F.explode(F.split(F.lower("text"), r"\s+")).alias("raw")).select(F.regexp_replace("raw", "[^a-z]", "").alias("word"))
     return words.where(F.length("word") > 2).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -31,9 +31,9 @@ def latency_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).groupBy(F.when(v < 10, "fast").when(v < 40, "medium").otherwise("slow").alias("band"), F.least(F.floor(v / 10), F.lit(9)).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT doc_id, token, string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) AS places FROM (SELECT item_id AS doc_id, unnest(w) AS token, generate_subscripts(w, 1) - 1 AS i FROM (SELECT item_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9]{2,}'), lambda w: w NOT IN ('a', 'an', 'and', 'are', 'as', 'at', 'be', 'by', 'for', 'from', 'has', 'he', 'in', 'is', 'it', 'its', 'of', 'on', 'that', 'the', 'to', 'was', 'were', 'will', 'with')) AS w FROM benchmark)) GROUP BY 1, 2""")
+@query("""SELECT doc_id, token, string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) AS places FROM (SELECT doc_id, unnest(w) AS token, generate_subscripts(w, 1) - 1 AS i FROM (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9]{2,}'), lambda w: w NOT IN ('a', 'an', 'and', 'are', 'as', 'at', 'be', 'by', 'for', 'from', 'has', 'he', 'in', 'is', 'it', 'its', 'of', 'on', 'that', 'the', 'to', 'was', 'were', 'will', 'with')) AS w FROM documents)) GROUP BY 1, 2""")
 def token_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search.positions(read(spark, sf_dir, "benchmark"), "item_id", "text")
+    found = search.positions(read(spark, sf_dir, "documents"), "doc_id", "text")
     return found.select("doc_id", "token", F.array_join(F.transform("positions", lambda p: p.cast("string")), ",").alias("places"))
 
 

@@ -58,22 +58,22 @@ def valid_card_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
-_POSTINGS = f"WITH t AS (SELECT item_id AS doc_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9]{{2,}}'), lambda w: w NOT IN ({_STOP}))) AS token FROM benchmark), p AS (SELECT doc_id, token, count(*) AS tf FROM t GROUP BY 1, 2), l AS (SELECT doc_id, sum(tf) AS len FROM p GROUP BY 1), d AS (SELECT token, count(*) AS df FROM p GROUP BY 1), n AS (SELECT count(*) AS n FROM l)"
+_POSTINGS = f"WITH t AS (SELECT doc_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9]{{2,}}'), lambda w: w NOT IN ({_STOP}))) AS token FROM documents), p AS (SELECT doc_id, token, count(*) AS tf FROM t GROUP BY 1, 2), l AS (SELECT doc_id, sum(tf) AS len FROM p GROUP BY 1), d AS (SELECT token, count(*) AS df FROM p GROUP BY 1), n AS (SELECT count(*) AS n FROM l)"
 
 
 @query(_POSTINGS + " SELECT token, df FROM d")
 def term_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.postings(read(spark, sf_dir, "benchmark"), "item_id", "text").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    return search.postings(read(spark, sf_dir, "documents"), "doc_id", "text").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
 
 
 @query(_POSTINGS + " SELECT doc_id, token, round(tf / len * ln(n / CAST(df AS DOUBLE)), 8) AS score FROM p JOIN l USING (doc_id) JOIN d USING (token), n")
 def tf_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.tf_idf(read(spark, sf_dir, "benchmark"), "item_id", "text").select("doc_id", "token", F.round("score", 8).alias("score"))
+    return search.tf_idf(read(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "token", F.round("score", 8).alias("score"))
 
 
 @query(_POSTINGS + " SELECT doc_id, round(sum(tf / len * (ln((n + 1) / CAST(df + 1 AS DOUBLE)) + 1)), 8) AS score, count(*) AS matched FROM p JOIN l USING (doc_id) JOIN d USING (token), n WHERE token IN ('tion', 'ing', 'ther', 'en') GROUP BY 1 ORDER BY matched DESC, score DESC, doc_id LIMIT 10")
 def ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.ranked(read(spark, sf_dir, "benchmark"), "item_id", "text", ["tion", "ing", "ther", "en"], 10).withColumn("score", F.round("score", 8))
+    return search.ranked(read(spark, sf_dir, "documents"), "doc_id", "text", ["tion", "ing", "ther", "en"], 10).withColumn("score", F.round("score", 8))
 
 
 @query("""SELECT doc_id FROM documents WHERE contains(lower(text), 'tion') AND contains(lower(text), 'the ') EXCEPT SELECT doc_id FROM documents WHERE contains(lower(text), 'which')""")
@@ -82,15 +82,15 @@ def boolean_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").where(F.contains(t, F.lit("tion")) & F.contains(t, F.lit("the ")) & ~F.contains(t, F.lit("which"))).select("doc_id").distinct()
 
 
-@query("""SELECT token, n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9]{2,}')) AS token, count(*) AS n FROM benchmark GROUP BY 1) WHERE starts_with(token, 'th') ORDER BY n DESC, token LIMIT 8""")
+@query("""SELECT token, n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9]{2,}')) AS token, count(*) AS n FROM documents GROUP BY 1) WHERE starts_with(token, 'th') ORDER BY n DESC, token LIMIT 8""")
 def prefix_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = read(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]{2,}"), F.lit(0))).alias("token"))
+    words = read(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]{2,}"), F.lit(0))).alias("token"))
     return words.where(F.startswith("token", F.lit("th"))).groupBy("token").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "token").limit(8)
 
 
-@query("""SELECT item_id, regexp_replace(text, '(?i)(tion|the)', '<mark>\\1</mark>', 'g') AS marked FROM benchmark""")
+@query("""SELECT doc_id, regexp_replace(text, '(?i)(tion|the)', '<mark>\\1</mark>', 'g') AS marked FROM documents""")
 def highlighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "benchmark").select("item_id", text.highlighted(F.col("text"), ["tion", "the"]).alias("marked"))
+    return read(spark, sf_dir, "documents").select("doc_id", text.highlighted(F.col("text"), ["tion", "the"]).alias("marked"))
 
 
 @query("""SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)license|copyright') THEN 'license' WHEN regexp_matches(text, '[!#$%&*]{3}') THEN 'junk' WHEN length(text) < 300 THEN 'short' ELSE 'general' END AS intent FROM documents""")

@@ -52,9 +52,9 @@ def identifier_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", F.explode(vocabulary.parts_of_url(F.col("url"))).alias("token"))
 
 
-@query("""WITH t AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark) SELECT regexp_replace(w, '^(.{3,}?)(ations?|ings?|ed|es|s|ly)$', '\\1') AS stem, count(*) AS n FROM t GROUP BY 1""")
+@query("""WITH t AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents) SELECT regexp_replace(w, '^(.{3,}?)(ations?|ings?|ed|es|s|ly)$', '\\1') AS stem, count(*) AS n FROM t GROUP BY 1""")
 def stemmed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = read(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("w"))
+    words = read(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("w"))
     return words.groupBy(vocabulary.stem(F.col("w")).alias("stem")).agg(F.count(F.lit(1)).alias("n"))
 
 
