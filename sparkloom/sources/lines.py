@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from sparkloom.functions.scoring import level_of_status
 
 # The formats' patterns.
 COMMON = r'^(\S+) (\S+) (\S+) \[([^\]]+)\] "(\S+) (\S+) ([^"]*)" (\d{3}) (\d+|-)'
-COMBINED = COMMON + r' "([^"]*)" "([^"]*)"$'
+AGENT = r'^ "([^"]*)" "([^"]*)"$'
+COMBINED = COMMON + AGENT[1:]
 RFC3164 = r"^<(\d{1,3})>([A-Z][a-z]{2} [ \d]\d \d{2}:\d{2}:\d{2}) (\S+) ([^:\[\s]+)(?:\[(\d+)\])?: (.*)$"
 RFC5424 = r"^<(\d{1,3})>1 (\S+) (\S+) (\S+) (\S+) (\S+) (-|\[.*\]) ?(.*)$"
 JOURNAL = r"^([A-Z][a-z]{2} \d{2} \d{2}:\d{2}:\d{2}) (\S+) ([^:\[\s]+)\[(\d+)\]: (.*)$"
@@ -17,8 +20,16 @@ FACILITIES = 8
 FIELDS = "struct<format string, ts string, host string, app string, level string, status int, bytes long, message string>"
 
 
-def _group(line: Column, pattern: str, i: int) -> Column:
-    return F.nullif(F.regexp_extract(line, pattern, i), F.lit(""))
+#: Stands between the groups of a line while they are taken apart; in a line it counts as a space.
+_BETWEEN = "\x1f"
+
+
+def _parsed(line: Column, pattern: str, groups: int, build: Callable[[Callable[[int], Column]], Column]) -> Column:
+    """build(group) for a line that fits a pattern: all groups by one replacement and one split, not an extraction each; a group
+    that is empty is null."""
+    joined = F.regexp_replace(F.translate(line, _BETWEEN, " "), pattern, _BETWEEN.join(f"${i}" for i in range(1, groups + 1)))
+    each = F.transform(F.array(F.split(joined, _BETWEEN)), lambda g: build(lambda i: F.nullif(F.element_at(g, i), F.lit(""))))
+    return F.when(line.rlike(pattern), F.element_at(each, 1))
 
 
 def _dash(c: Column) -> Column:
@@ -32,30 +43,37 @@ def _row(format_: str, **fields: Column) -> Column:
 
 def access(line: Column) -> Column:
     """Common and combined access logs; the level follows from the class of the status."""
-    status = _group(line, COMMON, 8).try_cast("int")
-    kind = F.when(line.rlike(COMBINED), "combined").otherwise("common")
-    ts = F.date_format(F.try_to_timestamp(_group(line, COMMON, 4), F.lit("dd/MMM/yyyy:HH:mm:ss Z")), "yyyy-MM-dd'T'HH:mm:ss")
-    row = _row("", ts=F.coalesce(ts, _group(line, COMMON, 4)), host=_group(line, COMMON, 1), app=_dash(_group(line, COMMON, 3)), level=level_of_status(status), status=status, bytes=_dash(_group(line, COMMON, 9)).try_cast("long"), message=F.concat_ws(" ", _group(line, COMMON, 5), _group(line, COMMON, 6)))
-    return F.when(line.rlike(COMMON), row.withField("format", kind))
+
+    def row(group: Callable[[int], Column]) -> Column:
+        status = group(8).try_cast("int")
+        ts = F.date_format(F.try_to_timestamp(group(4), F.lit("dd/MMM/yyyy:HH:mm:ss Z")), "yyyy-MM-dd'T'HH:mm:ss")
+        kind = F.when(group(10).rlike(AGENT), "combined").otherwise("common")
+        return _row("", ts=F.coalesce(ts, group(4)), host=group(1), app=_dash(group(3)), level=level_of_status(status), status=status, bytes=_dash(group(9)), message=F.concat_ws(" ", group(5), group(6))).withField("format", kind)
+
+    return _parsed(line, COMMON + r"([\s\S]*)$", 10, row)
 
 
 def syslog(line: Column) -> Column:
     """RFC 3164 and 5424; the priority is split into facility (div 8) and severity (mod 8)."""
     names = F.array(*[F.lit(x) for x in ("EMERGENCY", "ALERT", "CRITICAL", "ERROR", "WARNING", "NOTICE", "INFO", "DEBUG")])
-    out = F.lit(None).cast(FIELDS)
-    for name, pattern, (ts, host, app, message) in (("rfc3164", RFC3164, (2, 3, 4, 6)), ("rfc5424", RFC5424, (2, 3, 4, 8))):
-        level = F.element_at(names, F.coalesce(_group(line, pattern, 1).try_cast("int") % FACILITIES, F.lit(7)) + 1)
-        row = _row(name, ts=_group(line, pattern, ts), host=_dash(_group(line, pattern, host)), app=_dash(_group(line, pattern, app)), level=level, message=F.regexp_extract(line, pattern, message))
-        out = F.coalesce(out, F.when(line.rlike(pattern), row))
-    return out
+
+    def row(name: str, ts: int, host: int, app: int, message: int) -> Callable:
+        level = lambda group: F.element_at(names, F.coalesce(group(1).try_cast("int") % FACILITIES, F.lit(7)) + 1)
+        return lambda group: _row(name, ts=group(ts), host=_dash(group(host)), app=_dash(group(app)), level=level(group), message=F.coalesce(group(message), F.lit("")))
+
+    both = F.coalesce(_parsed(line, RFC3164, 6, row("rfc3164", 2, 3, 4, 6)), _parsed(line, RFC5424, 8, row("rfc5424", 2, 3, 4, 8)))
+    return F.when(line.startswith("<"), both)
 
 
 def journal(line: Column) -> Column:
     """Short form of the journal; the level is told from the words of the message."""
-    message = F.regexp_extract(line, JOURNAL, 5)
-    level = F.when(message.rlike("(?i)error|fail"), "ERROR").when(message.rlike("(?i)warn"), "WARNING").otherwise("INFO")
-    row = _row("journal", ts=_group(line, JOURNAL, 1), host=_group(line, JOURNAL, 2), app=_group(line, JOURNAL, 3), level=level, message=message)
-    return F.when(line.rlike(JOURNAL), row)
+
+    def row(group: Callable[[int], Column]) -> Column:
+        message = F.coalesce(group(5), F.lit(""))
+        level = F.when(message.rlike("(?i)error|fail"), "ERROR").when(message.rlike("(?i)warn"), "WARNING").otherwise("INFO")
+        return _row("journal", ts=group(1), host=group(2), app=group(3), level=level, message=message)
+
+    return _parsed(line, JOURNAL, 5, row)
 
 
 def json_line(line: Column) -> Column:
