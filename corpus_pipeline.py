@@ -12,7 +12,8 @@ ORACLE_SQL = None
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go. Null and empty texts are judged as an empty text; repeated rows are judged
+    alike and stay or go together; rows without an id are judged like others; an empty table gives an empty one."""
     return quality.keep_quality(docs, read(spark, sf_dir, "labels"))
 
 
@@ -23,17 +24,20 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def chained_substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that an earlier document has too are cut out; documents of which nothing is left go."""
+    """Passages that an earlier document has too are cut out; documents of which nothing is left go. Rows without an id and null or
+    empty texts come through unchanged; rows repeated under one id are one document."""
     return substring_dedup.cut_passages(docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are brought to their targets; a document is there as often as the mix takes it."""
+    """Sources are brought to their targets; a document is there as often as the mix takes it, three times at most. A null source is a
+    source; rows without words, null texts among them, are never taken; repeated rows are decided one by one."""
     return mixing.mixed_documents(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bins of documents; sizes are words."""
+    """Bins of documents; sizes are words. Rows without words are in no bin, null ids stay null in their bin, repeated rows are packed
+    each time; an empty table gives no bins."""
     return packing.pack(docs, mixing.n_words(docs["text"]))
 
 
