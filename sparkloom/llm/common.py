@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -28,6 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share; one of our own only where the session names none."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         import tempfile
 
         where = tempfile.mkdtemp(prefix="sparkloom-")
@@ -39,17 +42,34 @@ def written(df: DataFrame, name: str = "t") -> DataFrame:
     """Write df into the shared folder and read it back: the plan above it starts from files that
     outlive any executor. Parquet is far smaller than checkpoint()'s row files."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sparkloom-{name}-{uuid.uuid4().hex}"
+    path = f"{_run_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_run_dirs: set[str] = set()
+
+
+def _run_dir(spark: SparkSession) -> str:
+    """One folder for all tables of a Spark application. Results read from them lazily, so they are kept as long as the driver
+    lives, which deletes the folder as it ends; what nothing reads any more goes before, by dropped()."""
+    path = f"{shared_dir(spark)}/sparkloom-{spark.sparkContext.applicationId}"
+    if path not in _run_dirs:
+        _run_dirs.add(path)
+        atexit.register(_delete, spark, path)
+    return path
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
+
+
 def dropped(df: DataFrame) -> None:
     """Delete the files of a table made by written() that nothing reads any more."""
-    spark = df.sparkSession
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, folder)
 
 
 Columns = dict[str, list]
@@ -84,15 +104,27 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(True))
 
 
-def first_by_hash(df: DataFrame, n: int, id_col: str, *ties: str) -> DataFrame:
-    """The first n rows in the order of a hash of the id. Rows are counted and those that can't be among them are left
-    out first, so that not every task sends n rows to the driver."""
+def first_by_hash(df: DataFrame, n: int, id_col: str) -> DataFrame:
+    """The first n rows in the order of a hash of their ids, which must be distinct. Rows are counted and those that can't be
+    among them are left out first, so that not every task sends n rows to the driver."""
     space = 1 << 40
     place = F.pmod(F.xxhash64(id_col), F.lit(space))
     total = df.count()
     if total > n:
         df = df.where(place < min(space, int(space * ((1.2 * n + 100) / total))))
-    return df.orderBy(place, id_col, *ties).limit(n)
+    return df.orderBy(place, id_col).limit(n)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, n: int, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """(_id, _t, _y): texts with labels outside the held-out fold, n at most, the first by a hash of the id.
+
+    Each id counts once: of several labels the smaller, of several texts the first in byte order. So neither repeated labels nor
+    repeated documents make the sample larger or smaller. The chosen ids, n at most, are broadcast.
+    """
+    known = labels.where(F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).cast("int").alias("_y"))
+    chosen = F.broadcast(first_by_hash(known, n, "_id"))
+    body = docs.select(docs[id_col].alias("_doc"), as_bytes(text_col).alias("_t"))
+    return body.join(chosen, body["_doc"] == chosen["_id"]).groupBy("_id").agg(F.min("_t").alias("_t"), F.first("_y").alias("_y"))
 
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)

@@ -3,19 +3,18 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import Columns, arrow_map, as_bytes, first_by_hash, held_out, tune, written
+from sparkloom.llm.common import Columns, arrow_map, as_bytes, dropped, held_out, labelled_sample, tune, written
 
 #: At most this many labelled rows, the first by a hash of the id, are used to learn from.
 FIT_ROWS = 20_000
-#: A lexicon is at most this long; the driver gets at most CANDIDATES counted terms to choose it from.
-LEXICON, CANDIDATES = 2_000, 50_000
+#: More significant terms than this are an error: the driver and every executor hold them.
+LEXICON = 200_000
 #: Words on each side of a hit that decide whether it is quoted or aimed at someone.
 WINDOW = 6
 # Words that report or discuss speech, and words of address, in four languages.
@@ -47,14 +46,14 @@ class FuzzyTrie:
 
     A position is (node, edits so far). One character takes a position along the equal edge, or for one edit
     more along any edge (substitution) or nowhere (an extra character); a missing character is an edge
-    without a character; with `first`, the first character may be edited too. The sets of positions are the states of an automaton whose transitions are made when
+    without a character. The sets of positions are the states of an automaton whose transitions are made when
     first needed and kept; most words reach the empty state after a few characters. Terms of fewer than
     `fuzzy_from` letters are matched exactly. A term that ends in * fits every word that begins with it.
     """
 
     MOST_STATES = 50_000
 
-    def __init__(self, terms: Iterable[str], edits: int = 1, fuzzy_from: int = 5, first: bool = False):
+    def __init__(self, terms: Iterable[str], edits: int = 1, fuzzy_from: int = 5):
         self.terms = sorted(set(terms))
         self.children: list[dict[str, int]] = [{}]
         self.ends: list[tuple[int, bool] | None] = [None]  # (term, open at its end)
@@ -73,7 +72,7 @@ class FuzzyTrie:
             if self.ends[node] is None or is_open:  # an open term covers the closed one
                 self.ends[node] = (number, is_open)
         self.length = [len(t.rstrip("*")) for t in self.terms]
-        self.edits, self.fuzzy_from, self.first = edits, fuzzy_from, first
+        self.edits, self.fuzzy_from = edits, fuzzy_from
         self._reset()
 
     def _reset(self) -> None:
@@ -87,7 +86,7 @@ class FuzzyTrie:
         todo = list(positions)
         while todo:  # a missing character
             node, e = todo.pop()
-            if e < self.edits and (node or self.first) and self.fuzzy[node]:
+            if e < self.edits and self.fuzzy[node]:
                 for child in self.children[node].values():
                     if self.fuzzy[child] and (child, e + 1) not in positions:
                         positions.add((child, e + 1))
@@ -113,7 +112,7 @@ class FuzzyTrie:
         for node, e in self.states[state]:
             if c in self.children[node]:
                 to.add((self.children[node][c], e))
-            if e < self.edits and (node or self.first) and self.fuzzy[node]:
+            if e < self.edits and self.fuzzy[node]:
                 to.add((node, e + 1))
                 to.update((child, e + 1) for child in self.children[node].values() if self.fuzzy[child])
         self.next[state][c] = found = self._state(to)
@@ -143,7 +142,7 @@ class Scanner:
     FEATURES = ("log_weight", "log_hits", "fuzzy", "quoted", "addressed", "kinds", "density", "strongest")
 
     def __init__(self, weights: dict[str, float]):
-        self.trie = FuzzyTrie(weights, first=True)
+        self.trie = FuzzyTrie(weights)
         self.weights = [weights[t] for t in self.trie.terms]
         self._known: dict[bytes, tuple[int, int] | None] = {}
         self._reporting, self._address = ({w.encode() for w in ws} for ws in (REPORTING, ADDRESS))
@@ -201,47 +200,46 @@ def learn_lexicon(sample: DataFrame, n: tuple[int, int], least: int = 3, signifi
     """Terms and stems that mark label 1, with their log odds, from (_t text, _y label) rows.
 
     A term is kept if it is in `least` documents of label 1 or more, if `precision` of the documents that have it
-    are of label 1, and if the likelihood ratio against independence reaches `significance`. Counting is a
-    pre-aggregated groupBy; only the counted candidates, at most CANDIDATES, reach the driver.
+    are of label 1, and if the likelihood ratio against independence reaches `significance`. Terms are counted and judged in a
+    pre-aggregated groupBy, however rare or frequent they are; only those that are kept reach the driver.
     """
 
-    def count(batches: Iterator[Columns], wanted: set[str] | None) -> Iterator[Columns]:
-        seen: Counter[str] = Counter()
+    def count(batches: Iterator[Columns]) -> Iterator[Columns]:
+        seen: dict[str, list[int]] = {}
+
+        def out() -> Columns:
+            return {"term": list(seen), "a": [x[1] for x in seen.values()], "b": [x[0] for x in seen.values()]}
+
         for b in batches:
-            for t in b["_t"]:
-                found = _terms(t)
-                seen.update(found if wanted is None else found & wanted)
+            for t, y in zip(b["_t"], b["_y"], strict=True):
+                for term in _terms(t):
+                    seen.setdefault(term, [0, 0])[y] += 1
                 if len(seen) > 500_000:
-                    yield {"term": list(seen), "n": list(seen.values())}
+                    yield out()
                     seen.clear()
-        yield {"term": list(seen), "n": list(seen.values())}
-
-    def totals(label: int, wanted: set[str] | None) -> dict[str, int]:
-        counted = arrow_map(sample.where(F.col("_y") == label).select("_t"), lambda b: count(b, wanted), "term string, n long")
-        rows = counted.groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= (least if label else 1))
-        return {r["term"]: r["n"] for r in rows.orderBy(F.desc("n"), "term").limit(CANDIDATES).collect()}
+        yield out()
 
     clean, toxic = n
     if not clean or not toxic:
         return {}
-    ones = totals(1, None)
-    zeros = totals(0, set(ones))
-    prior, scored = toxic / (toxic + clean), []
-    for term, a in ones.items():
-        b = zeros.get(term, 0)
-        share = a / (a + b)
-        if share < precision:
-            continue
-        ratio = 2 * (a * math.log(share / prior) + (b * math.log((1 - share) / (1 - prior)) if b else 0))
-        if ratio >= significance:
-            scored.append((ratio, term, math.log(((a + 0.5) / toxic) / ((b + 0.5) / clean))))
-    scored.sort(key=lambda s: (-s[0], s[1]))
-    lexicon = {term: weight for _, term, weight in scored[:LEXICON]}
+    prior = toxic / (toxic + clean)
+    counted = arrow_map(sample.select("_t", "_y"), count, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    share = F.col("a") / (F.col("a") + F.col("b"))
+    judged = counted.where(F.col("a") >= least).withColumn("share", share).where(F.col("share") >= precision)
+    against = F.when(F.col("b") > 0, F.col("b") * F.log((1 - F.col("share")) / (1 - prior))).otherwise(0.0)
+    judged = judged.where(2 * (F.col("a") * F.log(F.col("share") / prior) + against) >= significance)
+    found = judged.select("term", "a", "b").limit(LEXICON + 1).collect()
+    if len(found) > LEXICON:
+        raise ValueError(f"more than {LEXICON} terms mark label 1")
+    ones = {r["term"]: r["a"] for r in found}
+    lexicon = {r["term"]: math.log(((r["a"] + 0.5) / toxic) / ((r["b"] + 0.5) / clean)) for r in sorted(found, key=lambda r: r["term"])}
     # a word or longer stem goes if a stem of it tells as much; a stem goes if it comes from one word alone
-    whole = {t for t in lexicon if not t.endswith("*")}
-    for term in sorted(t for t in lexicon if t.endswith("*")):
-        inside = [w for w in whole if w.startswith(term[:-1])]
-        if inside and max(ones[w] for w in inside) >= 0.9 * ones[term]:
+    most: dict[str, int] = {}
+    for word in (t for t in lexicon if not t.endswith("*")):
+        for stem in stems(word + "?"):
+            most[stem] = max(ones[word], most.get(stem, 0))
+    for term in [t for t in lexicon if t.endswith("*")]:
+        if most.get(term, 0) >= 0.9 * ones[term]:
             del lexicon[term]
     kept = {t for t in lexicon if t.endswith("*")}
     return {t: w for t, w in lexicon.items() if not any(s in kept and s != t for s in stems(t.rstrip("*") + "?"))}
@@ -250,17 +248,14 @@ def learn_lexicon(sample: DataFrame, n: tuple[int, int], least: int = 3, signifi
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> DataFrame:
     """Per row: id, held_out, score in 0..1 (higher: label 1 likelier), predicted (1 if score >= threshold).
 
-    Learning: at most fit_rows labelled rows outside the held-out fold, chosen by a hash of the id, so their ids
-    (a bounded number) are broadcast and their texts written to the shared folder once. The lexicon (at most
+    Learning: labelled_sample(), fit_rows texts at most, written to the shared folder once. The lexicon (an error beyond
     LEXICON terms) and nine weights go to the executors. Scoring maps every partition: no shuffle of texts.
     Null and empty texts have no hits and get the score of a text without hits; a null id is held out; repeated
     rows get equal scores; without labels each score is 0.5; an empty table gives an empty result.
     """
     tune(docs.sparkSession)
-    known = labels.where(F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col))).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
-    chosen = first_by_hash(known, fit_rows, "_id", "_y")
     body = docs.select(docs[id_col].alias("_doc"), as_bytes(text_col).alias("_t"))
-    sample = written(body.join(F.broadcast(chosen), body["_doc"] == chosen["_id"]).select("_t", "_y"), "toxicity")
+    sample = written(labelled_sample(docs, labels, fit_rows, id_col, text_col, label_col).select("_t", "_y"), "toxicity")
     counts = {r["_y"]: r["count"] for r in sample.groupBy("_y").count().collect()}
     weights = learn_lexicon(sample, (counts.get(0, 0), counts.get(1, 0)))
 
@@ -270,6 +265,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, i
             yield {"f": [scanner.features(t) for t in b["_t"]], "_y": b["_y"]}
 
     measured = arrow_map(sample, measure, "f array<float>, _y int").toPandas()
+    dropped(sample)
     measured = measured.sort_values(["_y", "f"], key=lambda c: c.map(tuple) if c.name == "f" else c)  # the same sums at every run
     x = np.array(measured["f"].tolist(), dtype=np.float64).reshape(len(measured), len(Scanner.FEATURES))
     w = logistic(x, measured["_y"].to_numpy(np.float64))
