@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import Columns, arrow_map, as_bytes, first_by_hash, held_out, tune
+from sparkloom.llm.common import Columns, arrow_map, as_bytes, labelled_sample, held_out, tune
 
 #: At most this many labelled rows, the first by a hash of the id, are used to fit a model.
 FIT_ROWS = 20_000
@@ -130,20 +130,15 @@ class Trees:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS, **trees: float) -> Trees:
-    """Fit on labelled rows outside the held-out fold, at most fit_rows of them (by a hash of the id, so the
-    same at every run). Their ids, a bounded number, are broadcast; the driver gets only the statistics of their
-    texts. Without labels each score is 0.5."""
-    known = labels.where(F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col))).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
-    chosen = first_by_hash(known, fit_rows, "_id", "_y")
-    body = docs.select(docs[id_col].alias("_doc"), as_bytes(text_col).alias("t"))
-
+    """Fit on labelled_sample(): fit_rows texts at most, the same at every run. The driver gets only their statistics. Without
+    labels each score is 0.5."""
     def run(batches: Iterator[Columns]) -> Iterator[Columns]:
         for b in batches:
-            yield {"id": b["_doc"], "f": list(text_features(b["t"]).astype(np.float32)), "y": b["_y"]}
+            yield {"id": b["_id"], "f": list(text_features(b["_t"]).astype(np.float32)), "y": b["_y"]}
 
     tune(docs.sparkSession)
-    joined = body.join(F.broadcast(chosen), body["_doc"] == chosen["_id"]).select("_doc", "t", "_y")
-    sample = arrow_map(joined, run, f"id {docs.schema[id_col].dataType.simpleString()}, f array<float>, y int").toPandas()
+    chosen = labelled_sample(docs, labels, fit_rows, id_col, text_col, label_col)
+    sample = arrow_map(chosen, run, f"id {chosen.schema['_id'].dataType.simpleString()}, f array<float>, y int").toPandas()
     sample = sample.sort_values("id", kind="stable")  # sums, and so models, don't depend on the order in which tasks end
     x = np.array(sample["f"].tolist(), dtype=np.float64).reshape(len(sample), -1) if len(sample) else np.zeros((0, len(FEATURES)))
     return Trees(**trees).fit(x, sample["y"].to_numpy(np.float64))
