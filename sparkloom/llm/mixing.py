@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import re
 from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
@@ -11,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from sparkloom.llm.common import Columns, arrow_map, dropped, written
+
 WEIGHTS = (5, 2, 1)
 #: No document is taken more often, and no target exceeds so many times its source.
 REPEATS = 3
@@ -18,8 +21,9 @@ REPEATS = 3
 REPEAT_COSTS = (0, 1, 3)
 #: The flow is solved on the driver over sources and patterns; more are refused.
 MAX_PATTERNS = 100_000
-#: Documents in the one stretch of a pattern's seeded order that is decided document by document.
-STRETCH = 2_000
+#: Documents of a pattern's seeded order that are decided document by document, at most (equal rows aside); parts that a range of the order is cut
+#: into to find them; and the range of places.
+STRETCH, PARTS, SPACE = 2_000, 4096, 1 << 62
 #: A text's size is the number of its words.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -117,6 +121,7 @@ class Plan(NamedTuple):
     sources: list[str | None]  # by code point, null last
     sizes: list[int]
     targets: list[float]
+    quotas: list[int]  # targets in whole words, of the same sum
     flow: dict[tuple[tuple[int, ...], int], int]  # (pattern, source) -> words
 
     def of_pattern(self, pattern: tuple[int, ...]) -> int:
@@ -145,7 +150,7 @@ def solve(patterns: dict[tuple[str | None, ...], int], weights: Sequence[int] =
     for s, q in enumerate(quotas):
         flow.arc(2 + len(order) + s, 1, q)
     flow.run(0, 1)
-    return Plan(sources, sizes, wanted, {k: flow.room[e ^ 1] for k, e in routes.items()})
+    return Plan(sources, sizes, wanted, quotas, {k: flow.room[e ^ 1] for k, e in routes.items()})
 
 
 def nearest_fill(sizes: list[int], wanted: int, pool: int = 16) -> list[int]:
@@ -187,73 +192,107 @@ def _fill(sizes: list[int], own: list[int], wanted: int, pool: int) -> set[int]:
     return chosen
 
 
+class _Range(NamedTuple):
+    """Where in the seeded order of a pattern the rest ends: places below lo are taken, from hi on not, and of those between so
+    many words are left to take."""
+
+    lo: int
+    hi: int
+    left: int
+    docs: int
+
+
+def _narrowed(light: DataFrame, ranges: dict[int, _Range]) -> dict[int, _Range]:
+    """The one of PARTS equal parts of each range in which its rest ends; the sums of the parts are a row each."""
+    spark = light.sparkSession
+    asked = F.broadcast(spark.createDataFrame([(k, r.lo, r.hi, -(-(r.hi - r.lo) // PARTS), r.left) for k, r in ranges.items()], "_p int, lo long, hi long, width long, left long"))
+    inside = light.join(asked, "_p").where("_place >= lo AND _place < hi").withColumn("part", F.floor((F.col("_place") - F.col("lo")) / F.col("width")))
+    sums = inside.groupBy("_p", "part", "lo", "hi", "width", "left").agg(F.sum("_size").alias("n"), F.count(F.lit(1)).alias("docs"))
+    upto = sums.withColumn("upto", F.sum("n").over(Window.partitionBy("_p").orderBy("part")))  # at most PARTS rows a pattern
+    ends = upto.where("upto - n <= left AND left < upto").collect()  # a row for each pattern
+    found = {}
+    for r in ends:
+        lo = r["lo"] + r["part"] * r["width"]
+        found[r["_p"]] = _Range(lo, min(lo + r["width"], r["hi"]), r["left"] - (r["upto"] - r["n"]), r["docs"])
+    return found
+
+
 def mix(docs: DataFrame, members: Column, size: Column, weights: Sequence[int] = WEIGHTS, repeats: int = REPEATS, seed: int = 42, id_col: str = "doc_id") -> DataFrame:
     """docs with the columns RESULT (_target is that of the first of a row's sources); they replace columns of those names.
 
     members: an array of source names, which may hold null; a document in several sources has each word of it
     counted for one of them at a time. Whole documents are taken, 0 to `repeats` times each.
 
-    Sizes are pre-aggregated by membership pattern and the flow is solved over the patterns on the driver (at most
-    MAX_PATTERNS). It says how many words each pattern gives: all its documents some number of times,
-    and in the order of a seeded hash of the id as many again as fill the rest. The hash space is cut into stretches,
-    whose sums tell in which one the rest ends; only that stretch, STRETCH documents or 1/4096 of the
-    pattern, is decided one by one. So a source of any size needs no task that sees all of it, and every run agrees.
+    Sizes are read once into a small table (pattern, size, place). They are pre-aggregated by membership pattern and the flow is
+    solved over the patterns on the driver (at most MAX_PATTERNS). It says how many words each pattern gives: all its documents some
+    number of times, and in a seeded order, that of a hash of the row, as many again as fill the rest. Where the rest ends is narrowed
+    down by sums over parts of the hash space until STRETCH documents at most are left; these are decided one by one, by sizes and
+    places alone. So a source of any size needs no task that sees all of it, and every run agrees.
 
     A null or empty array counts as one source, null. Null sizes are 0; documents of size 0 are never taken. Rows
-    repeated under one id share a place in the order and are decided one by one. An empty table gives an empty result.
+    repeated under one id are decided one by one; of rows that are equal in every column it doesn't matter which one is taken. An
+    empty table gives an empty result.
     """
     spark = docs.sparkSession
     names = F.when(members.isNull() | (F.size(members) == 0), F.array(F.lit(None).cast("string"))).otherwise(F.array_sort(F.array_distinct(members)))
     own = F.struct(*(docs[c] for c in docs.columns)).alias("_row")
-    sized = docs.select(own, F.coalesce(size, F.lit(0)).cast("long").alias("_size"), names.alias("_pattern"), F.xxhash64(docs[id_col], F.lit(seed)).alias("_place"))
-    rows = sized.groupBy("_pattern").agg(F.sum("_size").alias("n"), F.count(F.lit(1)).alias("docs")).limit(MAX_PATTERNS + 1).collect()
+    words = F.coalesce(size, F.lit(0)).cast("long")
+    hashed = [docs[id_col], *(docs[f.name] for f in docs.schema if f.name != id_col and not re.search("map<|variant", f.dataType.simpleString()))]
+    place = F.pmod(F.xxhash64(F.lit(seed), *hashed), F.lit(SPACE))
+    light = written(docs.select(names.alias("_pattern"), words.alias("_size"), place.alias("_place")), "sizes")
+    rows = light.groupBy("_pattern").agg(F.sum("_size").alias("n"), F.count(F.lit(1)).alias("docs")).limit(MAX_PATTERNS + 1).collect()
     if len(rows) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
     plan = solve({tuple(r["_pattern"]): r["n"] for r in rows}, weights, repeats)
     index = {s: i for i, s in enumerate(plan.sources)}
-    per_pattern = []
-    for r in rows:
+    numbers = F.broadcast(spark.createDataFrame([(r["_pattern"], k) for k, r in enumerate(rows)], "_key array<string>, _p int"))
+    numbered = light.join(numbers, F.col("_pattern").eqNullSafe(F.col("_key"))).select("_p", "_size", "_place")
+    times, ranges = {}, {}
+    for k, r in enumerate(rows):
         wanted = plan.of_pattern(tuple(sorted(index[s] for s in r["_pattern"])))
-        times, rest = divmod(wanted, r["n"]) if r["n"] else (0, 0)
+        times[k], rest = divmod(wanted, r["n"]) if r["n"] else (0, 0)
+        ranges[k] = _Range(0, SPACE, rest, r["docs"]) if rest else _Range(0, 0, 0, 0)
+    while wide := {k: r for k, r in ranges.items() if r.docs > STRETCH and r.hi - r.lo > 1}:
+        ranges |= _narrowed(numbered, wide)
+    per_pattern = []
+    for k, r in enumerate(rows):
         first = min(index[s] for s in r["_pattern"])
-        stretches = min(max(r["docs"] // STRETCH, 1), 4096)
-        per_pattern.append((r["_pattern"], times, rest, stretches, plan.sizes[first], plan.targets[first]))
-    schema = "_key array<string>, _times long, _rest long, _stretches int, _source_size long, _target double"
-    known = F.broadcast(spark.createDataFrame(per_pattern, schema))  # a row for each pattern
-    placed = sized.join(known, F.col("_pattern").eqNullSafe(F.col("_key"))).drop("_key").withColumn("_stretch", F.pmod("_place", "_stretches"))
-    sums = placed.groupBy("_pattern", "_stretch").agg(F.sum("_size").alias("n"), F.first("_rest").alias("rest"))
-    upto = sums.withColumn("upto", F.sum("n").over(Window.partitionBy("_pattern").orderBy("_stretch")))  # at most 4096 rows a pattern
-    ends = upto.where("upto - n <= rest AND rest < upto").select("_pattern", F.col("_stretch").alias("_end"), (F.col("rest") - (F.col("upto") - F.col("n"))).alias("_left")).collect()
-    found = spark.createDataFrame([(r["_pattern"], r["_end"], r["_left"]) for r in ends], "_key array<string>, _end long, _left long")
-    decided = placed.join(F.broadcast(found), F.col("_pattern").eqNullSafe(F.col("_key")), "left").drop("_key")
-    at_end = F.coalesce(F.col("_stretch") == F.col("_end"), F.lit(False))
-    whole = decided.where(~at_end).withColumn("_more", F.coalesce(F.col("_stretch") < F.col("_end"), F.lit(False)).cast("int"))
-
-    def choose(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        def out(parts: list) -> Iterator:
-            group = pa.Table.from_batches(parts)
-            more = nearest_fill(group.column("_size").to_pylist(), group.column("_left")[0].as_py())
-            yield from group.append_column("_more", pa.array(more, pa.int32())).to_batches()
-
-        parts, key = [], None
-        for batch in batches:
-            patterns = batch.column("_pattern").to_pylist()
-            starts = [i for i, p in enumerate(patterns) if not i or p != patterns[i - 1]]
-            for i, j in zip(starts, [*starts[1:], len(patterns)], strict=True):
-                if parts and patterns[i] != key:
-                    yield from out(parts)
-                    parts = []
-                key = patterns[i]
-                parts.append(batch.slice(i, j - i))
-        if parts:
-            yield from out(parts)
-
-    ends_here = decided.where(at_end).repartition("_pattern").sortWithinPartitions("_pattern", "_place", F.col(f"_row.`{id_col}`"), "_size")
-    both = whole.unionByName(ends_here.mapInArrow(choose, whole.schema))
-    times = F.when(F.col("_size") > 0, F.col("_times") + F.col("_more")).otherwise(0).cast("int")
-    both = both.withColumn("_repeats", times).withColumn("_taken", F.col("_repeats") * F.col("_size"))
+        per_pattern.append((r["_pattern"], k, times[k], ranges[k].lo, ranges[k].hi, ranges[k].left, plan.sizes[first], plan.targets[first]))
+    known = F.broadcast(spark.createDataFrame(per_pattern, "_key array<string>, _p int, _times long, _lo long, _hi long, _left long, _source_size long, _target double"))  # a row for each pattern
+
+    def choose(batches: Iterator[Columns]) -> Iterator[Columns]:
+        key, left, places, sizes = None, 0, [], []
+
+        def out() -> Columns:
+            nth = [0] * len(sizes)
+            for i in range(1, len(sizes)):
+                nth[i] = nth[i - 1] + 1 if (places[i], sizes[i]) == (places[i - 1], sizes[i - 1]) else 0
+            return {"_q": [key] * len(sizes), "_at": places, "_n": sizes, "_nth": nth, "_more": nearest_fill(sizes, left)}
+
+        for b in batches:
+            for p, at, n, rest in zip(b["_p"], b["_place"], b["_size"], b["_left"], strict=True):
+                if p != key:
+                    if sizes:
+                        yield out()
+                    key, left, places, sizes = p, rest, [], []
+                places.append(at), sizes.append(n)
+        if sizes:
+            yield out()
+
+    ends = F.broadcast(spark.createDataFrame([(k, r.lo, r.hi, r.left) for k, r in ranges.items()], "_p int, _lo long, _hi long, _left long"))
+    last = numbered.join(ends, "_p").where("_place >= _lo AND _place < _hi").repartition("_p").sortWithinPartitions("_p", "_place", "_size")
+    chosen = written(arrow_map(last.select("_p", "_place", "_size", "_left"), choose, "_q int, _at long, _n long, _nth int, _more int"), "chosen")
+    dropped(light)
+    sized = docs.select(own, words.alias("_size"), names.alias("_pattern"), place.alias("_place"))
+    placed = sized.join(known, F.col("_pattern").eqNullSafe(F.col("_key"))).drop("_key", "_pattern")
+    at_end = (F.col("_place") >= F.col("_lo")) & (F.col("_place") < F.col("_hi"))
+    whole = placed.where(~at_end).withColumn("_more", (F.col("_place") < F.col("_lo")).cast("int"))
+    equal = Window.partitionBy("_p", "_place", "_size").orderBy("_place")
+    decided = placed.where(at_end).withColumn("_i", F.row_number().over(equal) - 1)
+    same = (F.col("_p") == F.col("_q")) & (F.col("_place") == F.col("_at")) & (F.col("_size") == F.col("_n")) & (F.col("_i") == F.col("_nth"))
+    both = whole.unionByName(decided.join(chosen.hint("merge"), same).select(*whole.columns))
+    often = F.when(F.col("_size") > 0, F.col("_times") + F.col("_more")).otherwise(0).cast("int")
+    both = both.withColumn("_repeats", often).withColumn("_taken", F.col("_repeats") * F.col("_size"))
     return both.select(*(F.col(f"_row.`{c}`") for c in docs.columns if c not in RESULT), *RESULT)
 
 
