@@ -128,14 +128,18 @@ def padded(text: bytes) -> bytes:
     return text.ljust(max(ROW, -(-len(text) // ROW) * ROW), b" ")
 
 
-def load(media: bytes, memo: dict | None = None) -> np.ndarray:
-    """The pixels of stored media, as an ARGB array; all images of a payload have the same width."""
-    parts, at = [], 0
+def images(media: bytes, memo: dict | None = None) -> Iterator[np.ndarray]:
+    """The ARGB pixel arrays of the images that lie one after another in stored media."""
+    at = 0
     while at < len(media):
         n = 8 + int.from_bytes(media[at + 4 : at + 8], "little")
-        parts.append(webp.decode(media[at : at + n], memo))
+        yield webp.decode(media[at : at + n], memo)
         at += n
-    return np.vstack(parts)
+
+
+def load(media: bytes, memo: dict | None = None) -> np.ndarray:
+    """The pixels of stored media, as an ARGB array; all images of a payload have the same width."""
+    return np.vstack(list(images(media, memo)))
 
 
 def samples(pixels: np.ndarray) -> np.ndarray:
@@ -186,6 +190,24 @@ def media_features(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return arrow_map(stored, run, f"`{id_col}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
+def media_pixels(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
+    """(id, image, height, width, pixels): the pixel array of each lossless WebP image of a media column, whatever transforms it has,
+    as 32-bit ARGB numbers, little end first, row by row. image counts the images of one value from 0. Null and empty media have
+    no rows; what is no WebP is a WebPError; other columns are not read. One image is in memory beside its batch."""
+    tune(media.sparkSession)
+
+    def run(batches: Iterator[Columns]) -> Iterator[Columns]:
+        memo: dict = {}
+        for b in batches:
+            for id_, m in zip(b["id"], b["m"], strict=True):
+                for i, pixels in enumerate(images(m, memo)):
+                    yield {id_col: [id_], "image": [i], "height": [pixels.shape[0]], "width": [pixels.shape[1]], "pixels": [pixels.astype("<u4").tobytes()]}
+
+    kind = media.schema[id_col].dataType.simpleString()
+    own = media.where(media[media_col].isNotNull()).select(media[id_col].alias("id"), media[media_col].alias("m"))
+    return arrow_map(own, run, f"`{id_col}` {kind}, image int, height int, width int, pixels binary")
+
+
 def media_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Store every whole text as media in the shared folder, read the stored bytes back and describe them.
 

@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import Columns, arrow_map
+from sparkloom.llm.common import Columns, arrow_map, written
 
 LENGTHS = (512, 1024, 2048, 4096, 8192)
 #: Pieces that are packed together. Every block leaves a few bins that aren't full, far below a thousandth.
@@ -78,7 +78,7 @@ def pack(docs: DataFrame, size: Column, lengths: Sequence[int] = LENGTHS, id_col
     longest = max(lengths)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(docs[id_col].alias("id"), F.coalesce(size, F.lit(0)).cast("long").alias("size")).where("size > 0")
-    counted = rows.groupBy("id", "size").agg(F.count(F.lit(1)).alias("n"))
+    counted = written(rows.groupBy("id", "size").agg(F.count(F.lit(1)).alias("n")), "sizes")  # sizes are read from texts once
     total = counted.agg(F.sum(F.col("n") * F.ceil(F.col("size") / longest))).first()[0] or 0
     blocks = max(1, -(-total // block))
     piece = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / longest)))

@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from sparkloom.llm.common import Columns, arrow_map, written
 
 #: Vectors whose sorted lists are built and searched together, and queries that search them together.
-BLOCK, QUERIES = 4096, 256
+#: Each block of vectors is sent to each block of queries, so the larger that is, the less is shuffled.
+BLOCK, QUERIES = 4096, 1024
 #: Blocks of vectors that one task passes for one block of queries.
-SPAN = 32
+SPAN = 8
 
 
 def quantised(vector: Column, scale: int = 64) -> Column:
@@ -108,14 +109,15 @@ class TopK:
 
 
 def _packed(batches: Iterator[Columns]) -> Iterator[Columns]:
-    """Blocks of vectors as 64-bit integers in bytes. Scores are summed as doubles, exact below 2**53; larger
-    components are refused."""
+    """Blocks of vectors as integers in bytes, of the least `width` that holds them. Scores are summed as doubles, exact below
+    2**53; larger components are refused."""
     for b in batches:
         x = [np.array(v, np.int64).reshape(len(v), -1) for v in b["v"]]
         for m in x:
             if m.size and float(np.abs(m).max()) ** 2 * m.shape[1] >= 2**53:
                 raise ValueError("components too large for exact scores")
-        yield {k: b[k] for k in ("dim", "asks", "n")} | {"ids": [np.array(i, np.int64).tobytes() for i in b["id"]], "x": [m.tobytes() for m in x]}
+        x = [m.astype(next(t for t in (np.int16, np.int32, np.int64) if not m.size or max(m.max(), -m.min()) <= np.iinfo(t).max)) for m in x]
+        yield {k: b[k] for k in ("dim", "asks", "n")} | {"width": [m.itemsize for m in x], "ids": [np.array(i, np.int64).tobytes() for i in b["id"]], "x": [m.tobytes() for m in x]}
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64) -> DataFrame:
@@ -156,7 +158,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
     # their dimension, queries to the spans of blocks of vectors
     kinds = placed.select("dim", F.col("block").alias("n"), F.lit(False).alias("asks"), "id", "v").unionByName(asked.select("dim", F.col("q").alias("n"), F.lit(True).alias("asks"), "id", "v"))
     grouped = kinds.where(of(query_blocks, 0) >= 1).groupBy("dim", "asks", "n").agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("rows"))
-    packed = arrow_map(grouped.select("dim", "asks", "n", "rows.id", "rows.v"), _packed, "dim int, asks boolean, n int, ids binary, x binary")
+    packed = arrow_map(grouped.select("dim", "asks", "n", "rows.id", "rows.v"), _packed, "dim int, asks boolean, n int, width int, ids binary, x binary")
     to = F.when(F.col("asks"), F.floor((of(blocks) - 1) / SPAN)).otherwise(of(query_blocks) - 1).cast("int")
     dealt = packed.withColumn("other", F.explode(F.sequence(F.lit(0), to)))
     work = dealt.select(
@@ -164,6 +166,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
         F.when(F.col("asks"), F.col("n")).otherwise(F.col("other")).alias("q"),
         F.when(F.col("asks"), F.col("other")).otherwise(F.floor(F.col("n") / SPAN).cast("int")).alias("span"),
         F.when(F.col("asks"), F.lit(-1)).otherwise(F.col("n")).alias("block"),
+        "width",
         "ids",
         "x",
     )
@@ -177,9 +180,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
             return {"query_id": best.ids[at], "vec": best.found[at, place], "score": best.scores[at, place].astype(np.int64)}
 
         for b in batches:
-            for dim, q, span, block, ids, x in zip(b["dim"], b["q"], b["span"], b["block"], b["ids"], b["x"], strict=True):
+            for dim, q, span, block, width, ids, x in zip(*(b[c] for c in ("dim", "q", "span", "block", "width", "ids", "x")), strict=True):
                 ids = np.frombuffer(ids, np.int64)
-                x = np.frombuffer(x, np.int64).reshape(len(ids), dim).astype(np.float64)
+                x = np.frombuffer(x, f"i{width}").reshape(len(ids), dim).astype(np.float64)
                 if block < 0:
                     if best is not None:
                         yield out()
