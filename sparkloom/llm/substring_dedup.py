@@ -26,9 +26,12 @@ IDENTITY, GAP_IDENTITY = 0.8, 0.6
 TOUCH = 4
 #: Slices of texts are asked for in multiples of so many words, so that many chains ask for the same ones.
 GRID = 32
-#: Words beyond a chain's ends that are looked at. Words that are alike further out hold seeds, and these are in a chain of their
-#: own, with whatever source has them first; touching chains make one passage.
-REACH = 21
+#: Words beyond a chain's ends that are looked at first. Words that are alike further out mostly hold seeds, and these are in a chain of
+#: their own, with whatever source has them first; touching chains make one passage. Where they hold none, GROW times as many words
+#: are looked at, again and again, as long as the texts stay alike.
+REACH, GROW = 21, 4
+#: The slices wanted in a round are broadcast if they are at most so many; else they are joined by a shuffle.
+FEW = 10_000
 
 
 def version(text: Column) -> Column:
@@ -226,7 +229,9 @@ def chains(pos: list[int], src: list[int], seed: int = SEED, max_gap: int = MAX_
 
 
 #: One row for each piece of a chain, numbered by seq: kind 0 words under seeds, 1 before them, 2 between seeds, 3 behind them.
-_PIECE = "doc long, v long, src long, src_v long, chain int, seq int, kind int, lo int, hi int, src_lo int, src_hi int, matched int"
+#: free: how many words beyond an end no longer chain has a seed in.
+_PIECE = "doc long, v long, src long, src_v long, chain int, seq int, kind int, lo int, hi int, src_lo int, src_hi int, matched int, free int"
+_ANY = 2**30
 
 
 def _chain_rows(pos: list[int], src: list[int], seed: int, max_gap: int, reach: int) -> Iterator[list[tuple]]:
@@ -276,11 +281,20 @@ def chain_pieces(found: DataFrame, seed: int = SEED, max_gap: int = MAX_GAP, rea
         for fits, (pos, src, src_v, src_pos) in zip(zones(np.array([r[0] for r in rows]), seed, max_gap, reach, min_words), rows, strict=True):
             if fits:
                 own.setdefault((src, src_v), []).append((pos, src_pos))
-        number = 0
-        for source in sorted(own):
-            for pieces in _chain_rows([p for p, _ in own[source]], [p for _, p in own[source]], seed, max_gap, reach):
-                out += [(*key, *source, number, i, *p) for i, p in enumerate(pieces)]
-                number += 1
+        found = [(source, c) for source in sorted(own) for c in _chain_rows([p for p, _ in own[source]], [p for _, p in own[source]], seed, max_gap, reach)]
+        # a chain of more than one seed is where words are alike, too; one that is a single seed may be there by chance
+        taken = [(p[1], p[2]) for _, c in found if sum(x[2] - x[1] for x in c if x[0] == 0) > seed for p in c if p[0] == 0]
+        begins, ends = np.sort([a for a, _ in taken]), np.sort([b for _, b in taken])
+        for number, (source, pieces) in enumerate(found):
+            for i, p in enumerate(pieces):
+                free = 0
+                if p[0] == 3:  # to the next such words that end behind this end
+                    at = np.searchsorted(ends, p[1], "right")
+                    free = max(0, int(begins[at]) - p[1]) if at < len(ends) else _ANY
+                elif p[0] == 1:  # back to the last ones that begin before this beginning
+                    at = np.searchsorted(begins, p[2])
+                    free = max(0, p[2] - int(ends[at - 1])) if at else _ANY
+                out.append((*key, *source, number, i, *p, free))
         return out
 
     def run(batches: Iterator[Columns]) -> Iterator[Columns]:
@@ -361,18 +375,34 @@ def align(pieces: DataFrame, docs: DataFrame) -> DataFrame:
     """The pieces with their matched words and with the ends of kinds 1 and 3 where the texts stop being alike. Words between two
     seeds of which too few match become an end (3) and a beginning (1).
 
+    Ends that are alike as far as was looked, where no chain has seeds further out, are looked at again, GROW times as far, until the
+    texts differ or one is at its end.
+    """
+    pieces = pieces.withColumn("seq", (4 * F.col("seq")).cast("int"))
+    done, asked = pieces.where("kind = 0"), pieces.where("kind > 0")
+    while True:
+        aligned = _align(asked, docs)
+        done = done.unionByName(aligned.where("more = 0").select(*done.columns))
+        asked = aligned.where("more = 1").drop("more")
+        if asked.isEmpty():
+            return done
+
+
+def _align(asked: DataFrame, docs: DataFrame) -> DataFrame:
+    """The asked pieces, aligned (more: 0), or to be looked at again with the words that then are wanted (more: 1).
+
     Only the words around the ends and between seeds are fetched, as 32-bit word hashes: distinct slices on a grid of GRID
     words are cut from the texts, joined to the pieces that need them from either side, and aligned.
     """
-    pieces = pieces.withColumn("seq", (4 * F.col("seq")).cast("int"))
-    asked = pieces.where("kind > 0")
     grid = lambda c, up: (F.floor((F.col(c) + (GRID - 1 if up else 0)) / GRID) * GRID).cast("int")
     asked = asked.withColumns({"g_lo": grid("lo", False), "g_hi": grid("hi", True), "s_lo": grid("src_lo", False), "s_hi": grid("src_hi", True)})
     own = asked.select("doc", "v", F.col("g_lo").alias("from"), F.col("g_hi").alias("to"))
     other = asked.select(F.col("src").alias("doc"), F.col("src_v").alias("v"), F.col("s_lo").alias("from"), F.col("s_hi").alias("to"))
     # the slices of one text are as many as it has words at most
     wanted = own.union(other).distinct().groupBy("doc", "v").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("spans"))
-    texts = docs.join(wanted.hint("merge"), ["doc", "v"]).select("doc", "v", "t", "spans")
+    wanted = written(wanted, "wanted")
+    few = wanted.agg(F.sum(F.size("spans"))).first()[0] or 0
+    texts = docs.join(F.broadcast(wanted) if few <= FEW else wanted.hint("merge"), ["doc", "v"]).select("doc", "v", "t", "spans")
 
     def cut(batches: Iterator[Columns]) -> Iterator[Columns]:
         known, before = WordHashes(), None
@@ -392,30 +422,43 @@ def align(pieces: DataFrame, docs: DataFrame) -> DataFrame:
     b = slices.select(F.col("doc").alias("b_doc"), F.col("v").alias("b_v"), F.col("from").alias("b_from"), F.col("to").alias("b_to"), F.col("w").alias("b_w"))
     both = asked.join(a, (F.col("doc") == F.col("a_doc")) & (F.col("v") == F.col("a_v")) & (F.col("g_lo") == F.col("a_from")) & (F.col("g_hi") == F.col("a_to")))
     both = both.join(b, (F.col("src") == F.col("b_doc")) & (F.col("src_v") == F.col("b_v")) & (F.col("s_lo") == F.col("b_from")) & (F.col("s_hi") == F.col("b_to")))
-    names = ("doc", "v", "src", "src_v", "chain", "seq", "kind", "lo", "hi", "src_lo", "src_hi")
-    columns = [k.split()[0] for k in _PIECE.split(", ")]
+    names = ("doc", "v", "src", "src_v", "chain", "seq", "kind", "lo", "hi", "src_lo", "src_hi", "free")
+    kinds = _PIECE + ", more int"
+    columns = [k.split()[0] for k in kinds.split(", ")]
+    slack = 3
+
+    def further(lo: int, hi: int, m: int, n: int, x: np.ndarray, y: np.ndarray, free: int) -> int:
+        """How far to look next; 0 if the texts differ before the end of what was looked at, or that was all there is."""
+        whole = len(x) == len(y) == hi - lo
+        return min(GROW * (hi - lo), free) if whole and free > hi - lo and max(m, n) >= hi - lo - slack else 0
 
     def run(batches: Iterator[Columns]) -> Iterator[Columns]:
         for c in batches:
             out = []
-            for *chain, seq, kind, lo, hi, s_lo, s_hi, g, s, aw, bw in zip(*(c[k] for k in (*names, "g_lo", "s_lo", "a_w", "b_w")), strict=True):
+            for *chain, seq, kind, lo, hi, s_lo, s_hi, free, g, s, aw, bw in zip(*(c[k] for k in (*names, "g_lo", "s_lo", "a_w", "b_w")), strict=True):
                 x, y = np.frombuffer(aw, np.uint32)[lo - g : hi - g], np.frombuffer(bw, np.uint32)[s_lo - s : s_hi - s]
                 if kind == 2:
                     matched = common_words(x, y, GAP_IDENTITY)
                     if matched >= GAP_IDENTITY * max(len(x), len(y)) or max(len(x), len(y)) <= TOUCH:
-                        out.append((*chain, seq, 2, lo, hi, s_lo, s_hi, matched))
+                        out.append((*chain, seq, 2, lo, hi, s_lo, s_hi, matched, 0, 0))
                         continue
                 if kind != 1:
-                    m, n, matched = extension(x, y)
-                    out.append((*chain, seq, 3, lo, lo + m, s_lo, s_lo + n, matched))
+                    m, n, matched = extension(x, y, slack)
+                    if kind == 3 and (far := further(lo, hi, m, n, x, y, free)):
+                        out.append((*chain, seq, 3, lo, lo + far, s_lo, s_lo + far, 0, free, 1))
+                    else:
+                        out.append((*chain, seq, 3, lo, lo + m, s_lo, s_lo + n, matched, 0, 0))
                 if kind != 3:
-                    m, n, matched = extension(x[::-1], y[::-1])
-                    out.append((*chain, seq + (kind == 2), 1, hi - m, hi, s_hi - n, s_hi, matched))
+                    m, n, matched = extension(x[::-1], y[::-1], slack)
+                    if kind == 1 and lo and s_lo and (far := further(lo, hi, m, n, x, y, free)):
+                        out.append((*chain, seq, 1, max(0, hi - far), hi, max(0, s_hi - far), s_hi, 0, free, 1))
+                    else:
+                        out.append((*chain, seq + (kind == 2), 1, hi - m, hi, s_hi - n, s_hi, matched, 0, 0))
             yield dict(zip(columns, zip(*out, strict=True), strict=True)) if out else dict.fromkeys(columns, [])
 
-    aligned = written(arrow_map(both.select(*names, "g_lo", "s_lo", "a_w", "b_w"), run, _PIECE), "aligned")
-    dropped(slices)
-    return pieces.where("kind = 0").unionByName(aligned)
+    out = written(arrow_map(both.select(*names, "g_lo", "s_lo", "a_w", "b_w"), run, kinds), "aligned")
+    dropped(slices), dropped(wanted)
+    return out
 
 
 def _passages(aligned: DataFrame, min_chain: int, min_words: int, identity: float) -> DataFrame:

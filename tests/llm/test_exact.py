@@ -1,5 +1,6 @@
 """Operators against brute force, exact round trips, and held-out accuracy."""
 
+import base64
 import hashlib
 import os
 import random
@@ -90,6 +91,28 @@ def test_media_of_several_images(monkeypatch):
     assert media.samples(media.load(media.store(p))).tobytes() == p
 
 
+def test_a_file_of_another_encoder():
+    """One pixel, as browsers' checks for lossless WebP have it."""
+    file = base64.b64decode("UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA==")
+    assert webp.decode(file).shape == (1, 1)
+
+
+def test_pixel_arrays_are_written(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    y, x = np.mgrid[:9, :14]
+    smooth = (0xFF000000 | (3 * x & 255) << 16 | (2 * y & 255) << 8 | (x + y & 255)).astype(np.uint32)
+    tiles = (3, 4)
+    modes, elements = rng.integers(0, 14, tiles).astype(np.uint32) << 8, rng.integers(0, 2**24, tiles).astype(np.uint32)
+    few = rng.integers(0, 2**32, 6, dtype=np.uint64).astype(np.uint32)[rng.integers(0, 6, (9, 14))]
+    files = [webp.encode(smooth, (("predictor", modes), ("cross", elements), "green"), 4, True), webp.encode(few, ("palette",), 3, True)]
+    rows = [(1, files[0]), (2, files[1] + files[0]), (None, None), (3, b""), (4, media.store(media.padded(b"some text")))]
+    media.media_pixels(spark.createDataFrame(rows, "doc_id long, media binary").withColumn("image", F.lit(0))).write.parquet(str(tmp_path / "p"))
+    got = {(r["doc_id"], r["image"]): np.frombuffer(r["pixels"], "<u4").reshape(r["height"], r["width"]) for r in spark.read.parquet(str(tmp_path / "p")).collect()}
+    assert set(got) == {(1, 0), (2, 0), (2, 1), (4, 0)}
+    assert (got[1, 0] == smooth).all() and (got[2, 0] == few).all() and (got[2, 1] == smooth).all()
+    assert media.samples(got[4, 0]).tobytes() == media.padded(b"some text")
+
+
 def test_truncated_media_is_an_error():
     with pytest.raises(webp.WebPError):
         webp.decode(media.store(media.padded(b"some text that is cut " * 50))[:200])
@@ -120,7 +143,6 @@ def test_flow_is_optimal_against_brute_force():
     for _ in range(30):
         patterns = {("a",): rng.randint(0, 4), ("a", "b"): rng.randint(1, 4), ("b",): rng.randint(0, 3)}
         plan = mixing.solve(patterns)
-        quota = [round(t) for t in plan.targets]
         flows = {p: plan.of_pattern(p) for p in ((0,), (0, 1), (1,))}
         best = None
         na, nab, nb = patterns["a",], patterns["a", "b"], patterns["b",]
@@ -128,11 +150,11 @@ def test_flow_is_optimal_against_brute_force():
             for fb in range(3 * nb + 1):
                 for xa in range(3 * nab + 1):
                     for xb in range(3 * nab - xa + 1):
-                        if fa + xa <= quota[0] + 1 and fb + xb <= quota[1] + 1 and fa + xa + fb + xb <= sum(quota):
+                        if fa + xa <= plan.quotas[0] and fb + xb <= plan.quotas[1]:
                             now = (-(fa + xa + fb + xb), cost(na, fa) + cost(nab, xa + xb) + cost(nb, fb))
                             best = now if best is None else min(best, now)
         mine = (-sum(flows.values()), cost(na, flows[0,]) + cost(nab, flows[0, 1]) + cost(nb, flows[1,]))
-        assert mine[0] == best[0] and mine[1] >= best[1]
+        assert mine == best
 
 
 def test_mixing_query(spark, small, docs):
@@ -339,6 +361,32 @@ def test_packing_query(spark, small, docs):
     assert sum(b["used"] for b in bins) > 0.97 * sum(b["capacity"] for b in bins)
 
 
+def test_packing_against_all_partitions():
+    """Blocks of few pieces against every way to part them into bins: on average within 2 percent of the least cost, never
+    half as much above it."""
+    rng = random.Random(9)
+
+    def cost(used):
+        return packing.bin_cost(next(n for n in sorted(packing.LENGTHS) if n >= used))
+
+    def least(sizes, bins):
+        if not sizes:
+            return sum(map(cost, bins))
+        s, rest = sizes[0], sizes[1:]
+        ways = [least(rest, [*bins, s])]
+        ways += [least(rest, [*bins[:i], b + s, *bins[i + 1 :]]) for i, b in enumerate(bins) if b + s <= max(packing.LENGTHS)]
+        return min(ways)
+
+    off = []
+    for _ in range(120):
+        sizes = [min(8192, int(rng.paretovariate(0.6) * 100)) for _ in range(rng.randint(1, 7))]
+        mine = sum(packing.bin_cost(b.capacity) for b in packing.pack_block(sizes))
+        off.append(mine / least(sizes, []) - 1)
+    assert min(off) >= -1e-9 and sum(off) / len(off) <= 0.02 and max(off) <= 0.5, (sum(off) / len(off), max(off))
+    ties = packing.pack_block([500] * 40)
+    assert [b.items for b in ties] == [b.items for b in packing.pack_block([500] * 40)]
+
+
 def test_packing_near_the_best_for_small_blocks():
     rng = random.Random(8)
     for _ in range(50):
@@ -396,10 +444,10 @@ def test_fuzzy_trie_against_brute_force():
             i = rng.randrange(len(w) + 1)
             w[i : i + rng.randint(0, 1)] = rng.choice(["", "x", "a"])
         w = "".join(w)
-        near = {t: levenshtein(w, t) for t in terms if w and w[:1] == t[:1]}
+        near = {t: levenshtein(w, t) for t in terms}
         want = min(((d, t) for t, d in near.items() if d == 0 or (d == 1 and len(t) >= 5)), default=None)
         got = trie.match(w)
-        assert (got and (got[0], trie.terms[got[1]])) == want or (want is not None and want[0] == 1 and got is None and w[:1] != want[1][:1]), (w, want, got)
+        assert (got and (got[0], trie.terms[got[1]])) == want, (w, want, got)
 
 
 def test_open_terms_and_context():
