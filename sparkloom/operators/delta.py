@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,14 +66,44 @@ def first_break(rows: DataFrame, by: str, order: str, body: str) -> DataFrame:
     return checked.where(bad).groupBy(by).agg(F.min(order).alias("broken"))
 
 
-def merkle_root(rows: DataFrame, key: str, value: str, fan: int = 4096) -> DataFrame:
+def merkle_root(rows: DataFrame, key: str, value: str, levels: int = 12) -> DataFrame:
     """One row (root): sha256 over key and value, in the order of keys, paired level by level, the last of an odd level
-    twice. A level is halved by a groupBy on place / 2, so no task holds all leaves."""
-    ranked = rows.select(F.sha2(F.concat_ws("=", key, value).cast("binary"), 256).alias("h"), F.col(key).alias("k"))
-    leaves = ranked.rdd.sortBy(lambda r: r["k"]).zipWithIndex().map(lambda x: (x[1], x[0]["h"])).toDF("place long, h string").checkpoint()
-    n = leaves.count()
+    twice; no row for an empty table. A round takes `levels` levels: a task holds 2 ** levels hashes at a time."""
+    import hashlib
+
+    leaves = rows.select(F.sha2(F.concat_ws("=", key, value).cast("binary"), 256).alias("h"), F.col(key).alias("k"))
+    placed = leaves.repartitionByRange("k").sortWithinPartitions("k", "h").select("h", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("i")).checkpoint()
+    sizes = placed.groupBy("p").agg(F.count(F.lit(1)).alias("n"))  # a row for each partition
+    n = sizes.agg(F.sum("n")).first()[0] or 0
+    before = sizes.select("p", (F.sum("n").over(Window.partitionBy(F.lit(1)).orderBy("p")) - F.col("n")).alias("before"))
+    nodes = placed.join(F.broadcast(before), "p").select((F.col("before") + F.col("i")).alias("place"), "h")
+    fan = 1 << levels
     while n > 1:
-        pairs = leaves.groupBy(F.floor(F.col("place") / 2).alias("place")).agg(F.min_by("h", "place").alias("a"), F.max_by("h", "place").alias("b"))
-        leaves = pairs.select("place", F.sha2(F.concat("a", "b").cast("binary"), 256).alias("h")).checkpoint()
-        n = -(-n // 2)
-    return leaves.select(F.col("h").alias("root"))
+        alone = n <= fan  # the top: as many levels as there are
+
+        def above(batches: Iterator, alone: bool = alone) -> Iterator:
+            import pyarrow as pa
+
+            def top(hashes: list[str]) -> str:
+                level = 0
+                while len(hashes) > 1 or not alone and level < levels:
+                    hashes = [hashlib.sha256((hashes[i] + hashes[min(i + 1, len(hashes) - 1)]).encode()).hexdigest() for i in range(0, len(hashes), 2)]
+                    level += 1
+                return hashes[0]
+
+            group, own, done = None, [], []
+            for b in batches:
+                for place, h in zip(b.column("place").to_pylist(), b.column("h").to_pylist(), strict=True):
+                    if place // fan != group:
+                        if own:
+                            done.append((group, top(own)))
+                        group, own = place // fan, []
+                    own.append(h)
+            if own:
+                done.append((group, top(own)))
+            yield pa.RecordBatch.from_pydict({"place": pa.array([g for g, _ in done], pa.int64()), "h": pa.array([h for _, h in done], pa.string())})
+
+        dealt = nodes.repartition(F.floor(F.col("place") / fan)).sortWithinPartitions("place")
+        nodes = dealt.mapInArrow(above, "place long, h string").checkpoint()
+        n = -(-n // fan)
+    return nodes.select(F.col("h").alias("root"))

@@ -97,6 +97,14 @@ def time_bucket_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("""WITH RECURSIVE r AS (SELECT list(sha256(o_orderkey || '=' || o_orderstatus) ORDER BY o_orderkey) AS h FROM orders UNION ALL SELECT [sha256(h[i] || coalesce(h[i + 1], h[i])) FOR i IN range(1, len(h) + 1, 2)] FROM r WHERE len(h) > 1) SELECT h[1] AS root FROM r WHERE len(h) = 1""")
+def merkle_root(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One digest for all orders, that changes with any of them."""
+    from sparkloom.operators import delta
+
+    return delta.merkle_root(read(spark, sf_dir, "orders"), "o_orderkey", "o_orderstatus", 6)
+
+
 _RING = ", ".join(f"({p}, '{n}')" for p, n in ring_points([f"node{i}" for i in range(5)], 64))
 
 

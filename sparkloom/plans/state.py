@@ -35,9 +35,12 @@ def replica_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2""")
 def last_write_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Versions with clocks that count one node: the fold ends with the largest."""
-    rows = events(spark, sf_dir).groupBy("user_id", "event_type").agg(F.max_by("value", "event_id").alias("value"), F.max("event_id").alias("event_id"))
-    return rows.select("user_id", "event_type", "event_id", "value")
+    """Three replicas, each with its last version of a key and a clock that counts its own writes: clocks are concurrent, so the
+    fold over vector clocks ends with the version that was written last."""
+    replica = (F.col("event_id") % 3).cast("string")
+    last = events(spark, sf_dir).groupBy("user_id", "event_type", replica.alias("replica")).agg(F.max(F.struct("event_id", "value")).alias("v"), F.count(F.lit(1)).alias("writes"))
+    versions = last.select(F.struct("user_id", "event_type").alias("key"), F.create_map("replica", "writes").alias("clock"), "v.event_id", "v.value")
+    return resolve.resolved(versions, "key", "clock", "event_id").select("key.user_id", "key.event_type", "event_id", "value")
 
 
 @query("""WITH e AS (SELECT user_id % 10 AS s, epoch_us(ts) AS t, event_id FROM events WHERE event_type = 'error'), g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY s ORDER BY t, event_id) <= 3600000000 THEN 0 ELSE 1 END AS new FROM e), c AS (SELECT *, sum(new) OVER (PARTITION BY s ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS alert FROM g)

@@ -94,3 +94,18 @@ def test_posting_lists(spark):
     assert vocabulary.with_all(postings, ["a", "zz"]).collect() == []
     newer = spark.createDataFrame([(0, "z")], "doc_id long, token string")
     assert vocabulary.newest_segment([postings, newer], "doc_id").where("doc_id = 0").collect() == [(0, "z")]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 16, 17, 65, 70])
+def test_merkle_root_in_rounds(spark, n):
+    import hashlib
+
+    from sparkloom.operators import delta
+
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    level = [sha(f"{i}=v{i * 7}") for i in range(n)]
+    while len(level) > 1:
+        level = [sha(level[i] + level[min(i + 1, len(level) - 1)]) for i in range(0, len(level), 2)]
+    rows = spark.createDataFrame([(i, f"v{i * 7}") for i in range(n)], "k long, v string").repartition(5)
+    assert delta.merkle_root(rows, "k", "v", 2).first()["root"] == level[0]
+    assert delta.merkle_root(rows.limit(0), "k", "v", 2).collect() == []
