@@ -33,7 +33,8 @@ def test_query(spark, small, oracle, name):
     columns = sorted(df.columns)
     rows = [tuple(plain(r[c]) for c in columns) for r in df.collect()]
     sql = registry.oracle_sql().get(name)
-    if sql is None:
+    if sql is None:  # the operators have tests of their own
+        assert rows and len({len(r) for r in rows}) == 1
         return
     result = oracle.execute(sql)
     names = [d[0] for d in result.description]
