@@ -30,8 +30,9 @@ GRID = 32
 #: their own, with whatever source has them first; touching chains make one passage. Where they hold none, GROW times as many words
 #: are looked at, again and again, as long as the texts stay alike.
 REACH, GROW = 21, 4
-#: The slices wanted in a round are broadcast if they are at most so many; else they are joined by a shuffle.
-FEW = 10_000
+#: The slices wanted in a round (their texts' ids and two numbers each) are broadcast if they are at most so many, some 6 MB; else they
+#: are joined by a shuffle.
+FEW = 100_000
 
 
 def version(text: Column) -> Column:
@@ -229,7 +230,7 @@ def chains(pos: list[int], src: list[int], seed: int = SEED, max_gap: int = MAX_
 
 
 #: One row for each piece of a chain, numbered by seq: kind 0 words under seeds, 1 before them, 2 between seeds, 3 behind them.
-#: free: how many words beyond an end no longer chain has a seed in.
+#: free: how many words beyond an end no chain has a seed in.
 _PIECE = "doc long, v long, src long, src_v long, chain int, seq int, kind int, lo int, hi int, src_lo int, src_hi int, matched int, free int"
 _ANY = 2**30
 
@@ -282,8 +283,7 @@ def chain_pieces(found: DataFrame, seed: int = SEED, max_gap: int = MAX_GAP, rea
             if fits:
                 own.setdefault((src, src_v), []).append((pos, src_pos))
         found = [(source, c) for source in sorted(own) for c in _chain_rows([p for p, _ in own[source]], [p for _, p in own[source]], seed, max_gap, reach)]
-        # a chain of more than one seed is where words are alike, too; one that is a single seed may be there by chance
-        taken = [(p[1], p[2]) for _, c in found if sum(x[2] - x[1] for x in c if x[0] == 0) > seed for p in c if p[0] == 0]
+        taken = [(p[1], p[2]) for _, c in found for p in c if p[0] == 0]
         begins, ends = np.sort([a for a, _ in taken]), np.sort([b for _, b in taken])
         for number, (source, pieces) in enumerate(found):
             for i, p in enumerate(pieces):
