@@ -1,5 +1,6 @@
 """Conflicts, spans, schemas, reports and models against plain Python."""
 
+import math
 import random
 
 import pytest
@@ -82,6 +83,56 @@ def test_dbscan_against_brute_force(spark):
     assert got == {i: want.get(i) for i in near}
 
 
+def _clusters(points: list, radius: float, least: int) -> dict:
+    near = {i: [j for j, u, w in points if (x - u) ** 2 + (y - w) ** 2 <= radius * radius] for i, x, y in points}
+    core, want = {i for i, n in near.items() if len(n) >= least}, {}
+    for i in sorted(core):
+        todo = [] if i in want else [i]
+        while todo:
+            k = todo.pop()
+            if k not in want:
+                want[k] = i
+                todo += [j for j in near[k] if j in core]
+    return {i: want[i] if i in core else min((want[j] for j in near[i] if j in core), default=None) for i in near}
+
+
+def test_dbscan_of_dense_points_keeps_little(spark, monkeypatch):
+    """Full cells with narrow gaps, exact distances and copies: equal to brute force, and no table of all neighbours."""
+    rng = random.Random(8)
+    rings = [(r * math.cos(t), r * math.sin(t)) for r, n in ((2, 150), (3.02, 200), (4.0, 250)) for t in (2 * math.pi * k / n for k in range(n))]
+    lines = [(x, 9 + k / 40) for k in range(80) for x in (0.0, 1.0, 2.0 + 1e-9)] + [(12 + k / 9, 0.5 * (k % 2)) for k in range(60)]
+    sparse = [(rng.uniform(-12, 14), rng.uniform(-8, 12)) for _ in range(150)]
+    places = rings + lines + [(20.0, 20.0)] * 900 + [(21.0, 20.0)] * 3 + [(21.5, 20.5), (-7.0, 3.0), (-6.0, 3.0)] + sparse
+    rng.shuffle(places)
+    points = [(i, x, y) for i, (x, y) in enumerate(places)]
+    df = spark.createDataFrame(points, "id long, x double, y double")
+    kept, before = [], type(df).checkpoint
+    monkeypatch.setattr(type(df), "checkpoint", lambda self, *a: kept.append(out := before(self, *a)) or out)
+    got = {r["id"]: r["cluster"] for r in models.dbscan(df, "id", "x", "y", 1.0, 4).collect()}
+    assert got == _clusters(points, 1.0, 4)
+    assert max(k.count() for k in kept) < 10 * len(points)  # of 900 copies alone there are 810,000 pairs
+
+
+def test_dbscan_of_odd_points(spark):
+    odd = [(1, None, 0.0), (2, float("nan"), 0.0), (3, float("inf"), 0.0), (4, float("inf"), 0.0), (5, 0.0, None)]
+    rows = odd + [(i, 5e14 + i % 3, -0.0) for i in range(10, 16)] + [(i, 1e5, 1e5) for i in range(20, 23)]
+    got = {r["id"]: r["cluster"] for r in models.dbscan(spark.createDataFrame(rows, "id long, x double, y double"), "id", "x", "y", 1.0, 4).collect()}
+    assert got == {i: 10 if 10 <= i < 16 else None for i, _, _ in rows}
+    assert models.dbscan(spark.createDataFrame(odd, "id long, x double, y double").limit(0), "id", "x", "y", 1.0, 4).collect() == []
+
+
+def test_components_in_rounds(spark):
+    rng = random.Random(3)
+    links = [(i, i + 1) for i in range(0, 120)] + [(200, 200 + i) for i in range(1, 80)] + [(300 + rng.randrange(60), 300 + rng.randrange(60)) for _ in range(90)]
+    root = {i: i for e in links for i in e}
+    for _ in root:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    df = spark.createDataFrame(links, "a long, b long")
+    for few in (0, 20, 1000):
+        assert {r["i"]: r["c"] for r in models._components(df, few).collect()} == root
+
+
 def test_outliers_have_high_scores(spark):
     rng = random.Random(2)
     rows = [(i, rng.gauss(0, 1), rng.gauss(0, 1)) for i in range(500)] + [(500, 9.0, 9.0), (501, -9.0, 8.0)]
