@@ -2,13 +2,16 @@
 
 import hashlib
 import json
+import math
 import random
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions import scoring, text
-from sparkloom.operators import delta, joins, layout, mapreduce, series, sessions, sketches, stats
+from sparkloom.operators import delta, joins, layout, mapreduce, search, series, sessions, sketches, stats
 from sparkloom.sources import files, lines
 from sparkloom.streaming import engine, windows
 
@@ -197,3 +200,23 @@ def test_sessions_of_idle_users_come_out(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "rows")).withWatermark("ts", "1 hour")
     got = stateful.hybrid_sessions(stream, timeout=1800.0, longest=14_400.0, closing=("purchase",), merge_within=300.0, similar=0.7).collect()
     assert sorted((r["user_id"], r["session"], r["n"], r["kinds"]) for r in got) == [(1, 1, 2, "click=1,view=1")]
+
+
+def test_tf_idf_of_shared_ids_and_rare_tokens(spark):
+    """Rows of one id, or of none, are one document; the same with nothing, something or everything broadcast; and no
+    shuffle of all postings if ids differ."""
+    rows = [(1, "Beta beta alpha the"), (1, "alpha gamma"), (2, "alpha delta"), (3, "the of"), (4, None), (5, ""), (None, "alpha zeta"), (None, "zeta"), (6, "x9 x9 " + "q" * 500), (7, "alpha beta x9")]
+    want: dict = {}
+    for i, text in rows:
+        for w in re.findall("[a-z0-9]{2,}", (text or "").lower()):
+            if w not in ("the", "of"):
+                want.setdefault(i, Counter())[w] += 1
+    df = Counter(w for c in want.values() for w in c)
+    want = {(i, w): c[w] / c.total() * math.log(len(want) / df[w]) for i, c in want.items() if i is not None for w in c}
+    docs = spark.createDataFrame(rows, "id long, text string")
+    for most in (0, 5, 20, 400_000):
+        got = search.tf_idf(docs, "id", "text", most).collect()
+        assert len(got) == len(want) and {(r["doc_id"], r["token"]): r["score"] for r in got} == pytest.approx(want)
+    assert search.tf_idf(docs.where("id IN (3, 4, 5)"), "id", "text").collect() == []
+    plan = search.tf_idf(docs.where("id IN (2, 6, 7)"), "id", "text")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan
